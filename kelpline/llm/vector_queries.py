@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.neighbours import similar_vectors
+from kelpline.llm.subset import runs_with_members, varied_of_lists, varied_subset
 from kelpline.tables import table
 
 
@@ -15,6 +16,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.least("id", "neighbour").alias("entry_a"), F.greatest("id", "neighbour").alias("entry_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every entry whose id is divisible by 100, against all entries.
+
+    Without a floor the tenth neighbour is hardly closer than chance, so single
+    hashes and many probes look at a larger part of the rows for each query.
+    """
+    return similar_vectors(table(spark, sf_dir, "embedding_entries"), "entry_id", "embedding", k=10, tables=16, probes=24, hashes=1, asking="entry_id % 100 = 0").withColumnRenamed("id", "entry_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = runs_with_members(table(spark, sf_dir, "retrieval_runs"), table(spark, sf_dir, "embedding_entries"))
+    return varied_of_lists(lists, "top_k", "members").select("run_id", F.explode("chosen").alias("file_id"))
+
+
+def p2_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred varied files of each corpus, the latest embedded of each chosen cell."""
+    entries = table(spark, sf_dir, "embedding_entries").withColumn("_age", -F.unix_micros(F.col("embedded_at").cast("timestamp")))
+    return varied_subset(entries, "corpus_id", "entry_id", "_age", "embedding", 100).select(F.col("grp").alias("corpus_id"), F.col("id").alias("entry_id"), "key")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_corpus": p2_corpus}
 
 SQL = {}

@@ -6,8 +6,9 @@ of an item, the terms that are rarest in the whole corpus ask the index; the
 postings, shifted by the item's positions, that fall on the same offset mark a
 place where the passage may stand. There the words of document and item are
 compared one by one: a match is a stretch of at least `span` item words of
-which `share` are the same and none but replaced words stand between
-(proximity), or all are the same (exact phrase).
+which `share` are the same (proximity), or all of them (exact phrase). Words of few
+items weigh more: without `rare_share` of the weight, document and item only
+share a pattern of words that many items have.
 
 Words are runs of letters and digits, lower-cased, after invisible characters,
 markup, escapes and hyphens at line ends are taken away. An item's first and
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from kelpline.plans.joins import broadcast_if_small, salted_join
 from kelpline.session import stored
 
-SPAN, SHARE, RAREST = 15, 0.8, 3
+SPAN, SHARE, RARE_SHARE, RAREST = 15, 0.8, 0.45, 3
 
 
 def words(text: Column) -> Column:
@@ -59,43 +60,54 @@ def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.posexplode("words").alias("pos", "term")).join(broadcast_if_small(terms, 200_000), "term", "left_semi")
 
 
-def rarest_terms(items: DataFrame, df: DataFrame, span: int = SPAN, rarest: int = RAREST) -> DataFrame:
+def rarest_terms(items: DataFrame, counts: DataFrame, span: int = SPAN, rarest: int = RAREST) -> DataFrame:
     """(item_id, term, at): positions that are among the rarest of some window of the item.
 
     Terms that no document holds are left out, as they can ask for nothing.
     """
-    places = items.filter(F.size("words") >= span).select("item_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(df, "term")
+    places = items.filter(F.size("words") >= span).select("item_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(counts, "term")
     windows = places.withColumn("window", F.explode(F.sequence(F.greatest(F.col("at") - (span - 1), F.lit(0)), F.least("at", F.col("n") - span))))
-    rank = F.row_number().over(Window.partitionBy("item_id", "window").orderBy("df", "at"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "window").orderBy("count", "at"))
     return windows.withColumn("r", rank).filter(F.col("r") <= rarest).select("item_id", "term", "at").distinct()
 
 
-def longest_match(same: np.ndarray, span: int, share: float) -> int:
-    """The length of the longest stretch of at least span positions, both ends the same, of which share are the same; else 0.
+def longest_match(same: np.ndarray, weight: np.ndarray, span: int, share: float, rare_share: float) -> int:
+    """The length of the longest stretch of at least span positions, both ends the same, that holds together; else 0.
 
-    With s the running sum of (same - share), a stretch (i, j] qualifies if s[j] >= s[i].
+    share of its positions and rare_share of its weight must be the same. With
+    s the running sum of (same - share), a stretch (i, j] has its share if
+    s[j] >= s[i]; so for the weights.
     """
     hits = np.flatnonzero(same)
     if len(hits) < span * share - 1e-9:
         return 0
-    s = np.concatenate([[0.0], np.cumsum(same - share)])
     begin, end = hits, hits + 1
-    gap = s[end][None, :] - s[begin][:, None] >= -1e-9
     length = end[None, :] - begin[:, None]
-    length = np.where(gap & (length >= span), length, 0)
-    return int(length.max())
+    good = length >= span
+    for gain in (same - share, weight * (same - rare_share)):
+        s = np.concatenate([[0.0], np.cumsum(gain)])
+        good &= s[end][None, :] - s[begin][:, None] >= -1e-9
+    return int(np.where(good, length, 0).max())
 
 
-def _verified(span: int, share: float):
+def _verified(span: int, share: float, rare_share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [longest_match(np.asarray(s, dtype=np.float64), span, share) for s in batch["same"]]
+            got = [longest_match(np.asarray(s, np.float64), np.asarray(w, np.float64), span, share, rare_share) for s, w in zip(batch["same"], batch["w"])]
             yield batch[["doc_id", "item_id", "at"]].assign(matched=np.array(got, dtype=np.int32))
 
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, span: int = SPAN, share: float = SHARE, rarest: int = RAREST) -> DataFrame:
+def weighted(items: DataFrame) -> DataFrame:
+    """items with `weights`: of each word the squared log of the items over those that have it; what all items share weighs nothing."""
+    each = items.select("item_id", F.posexplode("words").alias("i", "term"))
+    spread = each.groupBy("term").agg(F.countDistinct("item_id").alias("n"))
+    each = each.join(spread, "term").select("item_id", "i", F.pow(F.log(F.lit(items.count() + 1.0) / F.col("n")), 2).alias("w"))
+    return items.join(each.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e")), "item_id").select("item_id", "words", F.col("e.w").alias("weights"))
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, span: int = SPAN, share: float = SHARE, rare_share: float = RARE_SHARE, rarest: int = RAREST) -> DataFrame:
     """(doc_id, item_id, at, matched): where and how long passages of items stand in documents.
 
     at: the word of the document where the item's first counted word would
@@ -104,15 +116,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, span: int = SPAN, sh
     tokens = stored(documents.filter("text is not null").select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") >= span), "tokens")
     wanted = stored(item_words(items), "items")
     index = stored(postings(tokens, wanted.select(F.explode("words").alias("term")).distinct()), "postings")
-    df = index.groupBy("term").agg(F.approx_count_distinct("doc_id").alias("df"))
-    asks = stored(rarest_terms(wanted, df, span, rarest), "asks")
+    counts = stored(index.groupBy("term").count(), "counts")
+    asks = stored(rarest_terms(wanted, counts, span, rarest), "asks")
+    wanted = weighted(wanted)
     hits = salted_join(index, asks, ["term"], "inner", F.struct("doc_id", "pos"))
     places = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("offset")).distinct()
 
     first = F.greatest(-F.col("offset"), F.lit(0))
     pairs = places.join(tokens, "doc_id").join(broadcast_if_small(wanted.withColumnRenamed("words", "item")), "item_id")
-    pairs = pairs.withColumn("d", F.slice("words", F.greatest(F.col("offset"), F.lit(0)) + 1, F.size("item"))).withColumn("i", F.slice("item", first + 1, F.greatest(F.size("item") - first, F.lit(0))))
+    pairs = pairs.withColumn("d", F.slice("words", F.greatest(F.col("offset"), F.lit(0)) + 1, F.greatest(F.size("item") - first, F.lit(0)))).withColumn("i", F.slice("item", first + 1, F.greatest(F.size("item") - first, F.lit(0))))
+    pairs = pairs.withColumn("w", F.slice("weights", first + 1, F.greatest(F.size("item") - first, F.lit(0))))
     same = F.zip_with("d", "i", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("byte"))
-    pairs = pairs.select("doc_id", "item_id", F.col("offset").alias("at"), same.alias("same")).filter(F.aggregate("same", F.lit(0), lambda n, x: n + x) >= int(np.ceil(span * share - 1e-9)))
-    found = pairs.mapInPandas(_verified(span, share), "doc_id bigint, item_id bigint, at int, matched int")
+    pairs = pairs.select("doc_id", "item_id", F.col("offset").alias("at"), same.alias("same"), "w").filter(F.aggregate("same", F.lit(0), lambda n, x: n + x) >= int(np.ceil(span * share - 1e-9)))
+    found = pairs.mapInPandas(_verified(span, share, rare_share), "doc_id bigint, item_id bigint, at int, matched int")
     return found.filter("matched > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import leakage, tokenizer
+from kelpline.llm import language, leakage, tokenizer
 from kelpline.tables import table
 
 
@@ -30,6 +30,17 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.max("matched").alias("longest"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p7_found": p7_found, "p7_items": p7_items}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.document_languages(language.labelled(documents))
+    return language.mislabelled(documents, found).select("doc_id", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch of one language with its confidence."""
+    return language.labelled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_segments": p8_segments, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_found": p7_found, "p7_items": p7_items}
 
 SQL = {}

@@ -50,7 +50,7 @@ CODE = "code"
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _FRONT = re.compile(r"\A---\r?\n.*?\n---\r?\n", re.S)
-_PREFIX = re.compile(r"^\s*(?:[>*+\-|]\s+|\[\d{1,2}:\d{2}(?::\d{2})?\]\s*(?:[^\W\d_][\w .'’-]{0,40}:)?|\d{1,3}[.)]\s+)+")
+_PREFIX = re.compile(r"^\s*(?:[>*+\-|]\s+|\[\d{1,2}:\d{2}(?::\d{2})?\]\s*(?:[^\W\d_][\w .'’-]{0,40}:)?\s*|\d{1,3}[.)]\s+)+")
 _HEADER = re.compile(r"^\s*(?:#{1,6}\s|=|[A-Za-z][\w-]{0,24}:\s*\S.*<|(?:From|To|Cc|Bcc|Subject|Date|Reply-To|Message-ID|id|kind|confidence|title|updated|scope|source)\s*:|\S*/\S*$|\[\[.*\]\]\s*$|\d{4}-\d{2}-\d{2}\b)")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?://|/\*|\*/|import |from \S+ import|def |class |return\b|package |func |let |const |var |if \(|for \()|=>|\w\(.*\)|\w\.\w+\(|[\w\]]\s*[:+\-*/|&]?=\s*\S")
 _END = re.compile(r"(?<=[.!?…])[\s\"'”»)]+(?=\S)|(?<=[。！？])\s*")

@@ -27,7 +27,7 @@ def vec_coverage(spark, sf_dir):
 
 def vec_centroids(spark, sf_dir):
     stats = R.dimension_stats(_usable(spark, sf_dir), "corpus_id")
-    return stats.select("corpus_id", "i", F.round("mean", 6).alias("mean"), "low", "high")
+    return stats.select("corpus_id", "i", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "low", "high")  # off the half, where the order of the sum would decide
 
 
 def vec_nearest_to_centroid(spark, sf_dir):
@@ -136,7 +136,7 @@ m as (select *, case when precision_k + recall_k > 0 then 2.0::double * precisio
 
 SQL = {
     "vec_coverage": "select corpus_id, model, case when embedding is null then 'null' when len(embedding) = 0 then 'empty' when len(embedding) <> 64 then 'length' when len(list_filter(embedding, lambda x: x is null or isnan(x))) > 0 then 'not a number' when len(list_filter(embedding, lambda x: x <> 0)) = 0 then 'zero' else 'usable' end as state, count(*) as entries from embedding_entries group by 1, 2, 3",
-    "vec_centroids": _D + "select corpus_id, i::int as i, round(mean, 6) as mean, low, high from d",
+    "vec_centroids": _D + "select corpus_id, i::int as i, round(mean + 1e-9, 6) as mean, low, high from d",
     "vec_nearest_to_centroid": _D + """, c as (select corpus_id, list(mean order by i) as centroid from d group by 1)
 select corpus_id, place, similarity from (select corpus_id, entry_id, similarity, row_number() over (partition by corpus_id order by similarity desc, entry_id) as place from (select u.corpus_id, entry_id, round(list_cosine_similarity(embedding, centroid), 6) as similarity from u join c using (corpus_id))) where place <= 10""",
     "vec_int8_error": _D + """, s as (select corpus_id, list(low order by i) as low, list(case when high > low then high - low else 1.0 end order by i) as span from d group by 1),

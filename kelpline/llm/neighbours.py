@@ -44,7 +44,7 @@ def hashes_for(rows: int, bucket: int = 64, dims: int = DIMS) -> int:
 def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     """The keys of the `probes` best buckets of each row in one table, the own bucket first."""
     d, per = None, []
-    tops = max(2, min(6, probes))
+    tops = max(2, min(probes, 2 * x.shape[1]))
     for h in range(hashes):
         r = pseudo_rotation(x, 7919 * table + h)
         d = r.shape[1]
@@ -69,12 +69,14 @@ def _hashed(tables: int, hashes: int, probes: int):
                 x = unit(matrix(part["v"]))
                 code = [c.tobytes() for c in np.rint(x * 127).astype(np.int8)]
                 asks = part["asks"].to_numpy()
+                ids = part["class_id"].to_numpy()
                 for t in range(tables):
-                    keys = probe_keys(x, t, hashes, probes)
-                    for p in range(keys.shape[1]):
-                        who = np.ones(len(part), bool) if p == 0 else asks
-                        if who.any():
-                            yield pd.DataFrame({"bucket": keys[who, p] * tables + t, "probing": p > 0, "asks": asks[who], "id": part["class_id"].to_numpy()[who], "code": [c for c, w in zip(code, who) if w]})
+                    own = probe_keys(x, t, hashes, probes if asks.all() else 1)
+                    further = (own if asks.all() else probe_keys(x[asks], t, hashes, probes))[:, 1:]
+                    yield pd.DataFrame({"bucket": own[:, 0] * tables + t, "probing": False, "asks": asks, "id": ids, "code": code})
+                    if further.size:
+                        n = further.shape[1]
+                        yield pd.DataFrame({"bucket": further.T.ravel() * tables + t, "probing": True, "asks": True, "id": np.tile(ids[asks], n), "code": [c for c, a in zip(code, asks) if a] * n})
 
     return run
 

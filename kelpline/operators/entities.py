@@ -61,7 +61,6 @@ CLAIM_KEY = ["id", "metric", "role", "cp_type", "tenor", "status", "as_of"]
 
 def contradictions(measured: DataFrame) -> DataFrame:
     """Claim keys with more than one value; numbers compare as numbers."""
-    typed = F.coalesce(F.try_to_number("value", F.lit("S999999999999.999999")).cast("string"), F.col("value"), F.lit("null"))
     as_double = F.expr("try_cast(value as double)")
     typed = F.coalesce(F.round(as_double, 9).cast("string"), F.concat(F.lit("s:"), F.col("value")), F.lit("null"))
     return measured.withColumn("typed", typed).groupBy(*CLAIM_KEY).agg(F.countDistinct("typed").alias("values"), F.count(F.lit(1)).alias("measurements")).filter("values > 1")

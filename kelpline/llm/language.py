@@ -11,7 +11,7 @@ the lead over the best other language as confidence, and none if it is too far
 from all or nearest to code. Sentences of one language in a row are a segment.
 
 Defined cases: null, empty, blank, very short or symbol-only texts have no
-language; labels of any notation are compared by the language they name; a null
+language; null ids are left out; labels of any notation are compared by the language they name; a null
 or unknown label names none; repeated documents come out each; an empty table or
 one without labels gives an empty result.
 """
@@ -286,7 +286,7 @@ def segments(documents: DataFrame, model: dict) -> DataFrame:
                 out["confidence"] = (out["confidence"] / out["letters"].clip(lower=1)).astype(float).round(4)
                 yield out
 
-    return documents.filter("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, start int, end int, lang string, letters int, confidence double")
+    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, start int, end int, lang string, letters int, confidence double")
 
 
 def document_languages(parts: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:

@@ -14,7 +14,7 @@ Words are runs of letters and digits, lower-cased, after invisible characters,
 markup, escapes and hyphens at line ends are taken away. An item's first and
 last sentence do not count if another item has the same.
 
-Defined cases: null, empty or wordless texts match nothing; repeated documents
+Defined cases: null, empty or wordless texts and null ids match nothing; repeated documents
 match each; items with fewer than `span` words are not looked for; empty tables
 give an empty result; ties in rarity go to the earlier position.
 """
@@ -46,7 +46,7 @@ def words(text: Column) -> Column:
 
 def item_words(items: DataFrame) -> DataFrame:
     """(item_id, words) without first and last sentences that several items share."""
-    parts = items.filter("text is not null").select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("at", "sentence")).withColumn("w", words(F.col("sentence")))
+    parts = items.filter("text is not null and item_id is not null").select("item_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("at", "sentence")).withColumn("w", words(F.col("sentence")))
     parts = parts.withColumn("last", F.max("at").over(Window.partitionBy("item_id")))
     edge = parts.filter("at = 0 or at = last")
     shared = edge.groupBy("w").agg(F.countDistinct("item_id").alias("n")).filter("n > 1").select("w", F.lit(True).alias("shared"))
@@ -113,7 +113,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, span: int = SPAN, sh
     at: the word of the document where the item's first counted word would
     stand. One row per document, item and offset.
     """
-    tokens = stored(documents.filter("text is not null").select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") >= span), "tokens")
+    tokens = stored(documents.filter("text is not null and doc_id is not null").select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") >= span), "tokens")
     wanted = stored(item_words(items), "items")
     index = stored(postings(tokens, wanted.select(F.explode("words").alias("term")).distinct()), "postings")
     counts = stored(index.groupBy("term").count(), "counts")

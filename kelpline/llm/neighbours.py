@@ -12,7 +12,7 @@ distinct vectors is cut into tiles of bounded size that meet pairwise in
 separate tasks, so no task holds a whole bucket and no pair is dropped.
 
 Defined cases: vectors that are null, of another length, with null, NaN or
-infinite numbers, or all zero are left out; ties go to the smaller id; repeated
+infinite numbers, or all zero, and rows with a null id are left out; ties go to the smaller id; repeated
 rows of one id count once; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -159,7 +159,7 @@ def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 1
     of at least that similarity come out. hashes: per key; by default from the
     number of rows. More tables and probes cost time and miss less.
     """
-    rows = entries.filter(usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(asking).alias("ask")).dropDuplicates(["id"])
+    rows = entries.filter(usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(asking).alias("ask")).filter("id is not null").dropDuplicates(["id"])
     rows = stored(rows, "vectors")
     asked = rows.groupBy("v").agg(F.max("ask").alias("asks"))
     classes = stored(classes_of(rows, "id", "v", k + 1).join(asked, "v").select("class_id", "first_ids", "v", "asks"), "classes")

@@ -102,9 +102,10 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
 
     members: array<struct<place, name, v>>, one list's usable members. The cells
     of each list are sorted by curve key; cells whose best records are alike by
-    exact cosine become one cell of the better record; `size` evenly spaced
-    cells are chosen in curve order and the best (first) record of each. The
-    length of a list is that of one row's array.
+    exact cosine become one cell of the better record, and records of one cell
+    that are not alike become cells of their own; `size` evenly spaced cells
+    are chosen in curve order and the best (first) record of each. A null size
+    chooses nothing. The length of a list is that of one row's array.
     """
     names = [c for c in lists.columns if c != members_col]
     schema = lists.select(*names, F.array(F.lit("")).alias("chosen")).schema
@@ -115,14 +116,14 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
         members = sorted(members, key=lambda m: m["place"])
         v = unit(np.stack([m["v"] for m in members]))
         keys = curve_keys(v, axes, bits)
-        best: dict[int, int] = {}
-        for i, key in enumerate(keys.tolist()):
-            best.setdefault(key, i)  # members come best first
-        curve = sorted(best, key=best.get)
+        unlike = lambda i, others: (np.round(v[others] @ v[i], 6) < alike).all()
+        best: dict[int, list[int]] = {}
+        for i, key in enumerate(keys.tolist()):  # members come best first
+            if key not in best or unlike(i, best[key]):
+                best.setdefault(key, []).append(i)
         kept: list[int] = []
-        for key in curve:
-            i = best[key]
-            if not kept or (np.round(v[kept] @ v[i], 6) < alike).all():
+        for i in sorted(i for cell in best.values() for i in cell):
+            if not kept or unlike(i, kept):
                 kept.append(i)
         kept.sort(key=lambda i: (keys[i], i))
         n, size = len(kept), max(0, size)
@@ -133,7 +134,7 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch[names].assign(chosen=[one(int(s), list(m)) for s, m in zip(batch[size_col], batch[members_col])])
+                yield batch[names].assign(chosen=[one(0 if pd.isna(s) else int(s), list(m)) for s, m in zip(batch[size_col], batch[members_col])])
 
     return lists.mapInPandas(run, schema)
 
@@ -141,11 +142,11 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
 def runs_with_members(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """(run_id, top_k, members) of the mmr runs without error; members by file, first place of each.
 
-    Complete duplicates of a run count once. A file with several usable
+    Complete duplicates of a run count once; null run_ids are left out. A file with several usable
     entries has equal ones; the smallest entry_id stands for it.
     """
     files = entries.filter(usable("embedding")).groupBy("corpus_id", "file_id").agg(F.min_by("embedding", "entry_id").alias("v"))
-    asked = runs.filter("rerank = 'mmr' and error is null").dropDuplicates(["run_id"])
+    asked = runs.filter("rerank = 'mmr' and error is null and run_id is not null").dropDuplicates(["run_id"])
     listed = asked.select("run_id", "corpus_id", "top_k", F.posexplode("retrieved").alias("place", "file_id")).filter("file_id is not null")
     listed = listed.groupBy("run_id", "corpus_id", "top_k", "file_id").agg(F.min("place").alias("place"))
     found = listed.join(files, ["corpus_id", "file_id"])

@@ -44,7 +44,7 @@ OTHER = [f"v{i}" for i in range(20, 62)]
 
 @pytest.fixture(scope="module")
 def items(spark):
-    rows = [(1, "Read this first please. " + " ".join(BODY) + ". Answer in one line."), (2, "Read this first please. " + " ".join(OTHER) + ". Answer in one line."), (3, None), (4, ""), (5, "too short to count.")]
+    rows = [(1, "Read this first please. " + " ".join(BODY) + ". Answer in one line."), (2, "Read this first please. " + " ".join(OTHER) + ". Answer in one line."), (3, None), (4, ""), (5, "too short to count."), (None, " ".join(BODY))]
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
 
@@ -59,7 +59,7 @@ def test_passages(spark, items):
         1: " ".join(BODY[5:20]), 2: "x " + " ".join(BODY[5:19]) + " y", 3: " ".join(replaced), 4: " ".join(shuffled), 5: "Read this first please. Answer in one line.",
         6: split, 7: " ".join(BODY[:20]).upper().replace(" ", ", <b>").replace("W30", "W3​0"), 8: "\\n".join(BODY[:16]) + " and " + "&nbsp;".join(OTHER[10:30]), 9: None, 10: "", 11: " ".join(BODY[:20]), 12: " ".join(BODY[:20]), 13: "filler " * 20000 + " ".join(OTHER),
     }
-    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("item_id", F.lit(7)).withColumn("term", F.lit("x"))
+    docs = spark.createDataFrame([*texts.items(), (None, " ".join(BODY))], "doc_id bigint, text string").withColumn("item_id", F.lit(7)).withColumn("term", F.lit("x"))
     got = {(r.doc_id, r.item_id) for r in L.leaked_passages(docs, items).collect()}
     assert got == {(1, 1), (3, 1), (6, 1), (7, 1), (8, 1), (8, 2), (11, 1), (12, 1), (13, 2)}
 
@@ -109,6 +109,7 @@ def test_languages_of_held_out_documents(spark):
 
 
 def test_no_labels(spark):
-    docs = spark.createDataFrame([(1, "This is a sentence of running text in a document.", None), (2, None, "en"), (3, "", "fr")], "doc_id bigint, text string, lang string")
-    assert G.labelled(docs).count() == 0
+    docs = spark.createDataFrame([(1, "This is a sentence of running text in a document.", None), (2, None, "en"), (3, "", "fr"), (None, "This is a sentence of running text.", "en")], "doc_id bigint, text string, lang string")
+    assert G.labelled(docs).filter("doc_id is null").count() == 0
+    assert G.labelled(docs.filter("doc_id is not null")).count() == 0
     assert G.labelled(docs.limit(0)).count() == 0

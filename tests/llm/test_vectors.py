@@ -14,7 +14,7 @@ def frame(spark, rows):
 
 
 def brute(rows, k, floor):
-    rows = {i: np.array(v) for i, v in rows if v is not None and len(v) == 64 and not any(x is None or np.isnan(x) or np.isinf(x) for x in v) and any(v)}
+    rows = {i: np.array(v) for i, v in rows if i is not None and v is not None and len(v) == 64 and not any(x is None or np.isnan(x) or np.isinf(x) for x in v) and any(v)}
     out = set()
     for i, v in rows.items():
         s = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), j) for j, w in rows.items() if j != i)[:k]
@@ -31,7 +31,7 @@ def planted(seed=1, groups=12, size=9):
             rows.append((i, list(map(float, centre + 0.15 * rng.normal(size=64)))))
             i += 1
     rows += [(1000 + j, rows[0][1]) for j in range(15)]  # copies of one vector
-    rows += [(2000, None), (2001, []), (2002, [1.0] * 63), (2003, [0.0] * 64), (2004, [float("nan")] + [1.0] * 63), (2005, [None] + [1.0] * 63), (2006, [float("inf")] + [1.0] * 63), (5, rows[4][1])]
+    rows += [(2000, None), (2001, []), (2002, [1.0] * 63), (2003, [0.0] * 64), (2004, [float("nan")] + [1.0] * 63), (2005, [None] + [1.0] * 63), (2006, [float("inf")] + [1.0] * 63), (5, rows[4][1]), (None, rows[4][1])]
     return rows
 
 
@@ -78,10 +78,10 @@ def test_subset_of_lists_takes_one_of_each_group(spark):
     order = [3, 3, 0, 3, 1, 0, 4, 3, 2, 1, 3, 3]
     members = [{"place": i, "name": f"f{i}", "v": vector(g)} for i, g in enumerate(order)]
     schema = "run_id bigint, top_k int, members array<struct<place:int,name:string,v:array<double>>>"
-    lists = spark.createDataFrame([(1, 5, members), (2, 2, members), (3, 9, members[:1]), (4, 3, [])], schema)
+    lists = spark.createDataFrame([(1, 5, members), (2, 2, members), (3, 9, members[:1]), (4, 3, []), (5, None, members)], schema)
     got = {r.run_id: r.chosen for r in S.varied_of_lists(lists, "top_k", "members").collect()}
     assert got[1] == ["f0", "f2", "f4", "f6", "f8"]
-    assert len(got[2]) == 2 and set(got[2]) < set(got[1]) and got[3] == ["f0"] and got[4] == []
+    assert len(got[2]) == 2 and set(got[2]) < set(got[1]) and got[3] == ["f0"] and got[4] == got[5] == []
 
 
 def test_subset_of_groups_is_spread(spark):

@@ -22,7 +22,7 @@ def keyword_find(spark, sf_dir):
 
 def topic_filter(spark, sf_dir):
     """Keyword hits that also hold a quarter of the topic terms, or score half, re-ranked."""
-    found = X.keyword_columns(_latest(spark, sf_dir)).withColumn("relevance", F.expr(X.score_sql(X.query_tokens(QUERY)))).filter("relevance > 0")
+    found = X.keyword_scored(_latest(spark, sf_dir), QUERY).filter("relevance > 0")
     terms = [t for t in X.query_tokens(QUERY) if len(t) >= 3]
     topic = sum(F.when(F.contains(F.concat_ws(" ", "heads", "path_lower"), F.lit(t)), 1).otherwise(0) for t in terms) / float(len(terms))
     kept = found.withColumn("topic", F.round(topic, 6)).filter("topic >= 0.25 or relevance >= 0.5 or (knowledge_type = 'ground_truth' and relevance >= 0.35)")

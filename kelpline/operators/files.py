@@ -30,25 +30,26 @@ def query_tokens(query: str) -> list[str]:
     return [w for w in re.sub(r"[^a-z0-9àâäéèêëïîôùûüÿçœæ\s\-_/]", " ", query.lower()).split() if len(w) >= 2]
 
 
-def score_sql(tokens: list[str]) -> str:
-    """SQL over path_lower, path_parts, path_stems, heads, head_stems, file_lower, file_parts, file_stems, dir_lower.
+def points_sql(t: str) -> list[str]:
+    """SQL of a token's points in the path, the headings, the file name and the folder.
 
-    Of each token the best hit in the path, the headings and the file name
-    counts, and its presence in the folder; tokens that hit somewhere add to
-    the coverage, which counts from two on.
+    Reads path_lower, path_parts, path_stems, heads, head_stems, file_lower,
+    file_parts, file_stems and dir_lower; the best hit of each place counts.
     """
-    parts, hits = [], []
-    for t in tokens:
-        s = stem(t)
-        four = [
-            f"(case when array_contains(path_parts, '{t}') then 0.3 when array_contains(path_stems, '{s}') then 0.25 when contains(path_lower, '{t}') then 0.15 else 0 end)",
-            f"(case when contains(heads, '{t}') then 0.2 when contains(head_stems, '{s}') then 0.15 else 0 end)",
-            f"(case when array_contains(file_parts, '{t}') then 0.2 when array_contains(file_stems, '{s}') then 0.15 when contains(file_lower, '{t}') then 0.1 else 0 end)",
-            f"(case when contains(dir_lower, '{t}') then 0.1 else 0 end)",
-        ]
-        parts += four
-        hits.append(f"(case when {' + '.join(four)} > 0 then 1 else 0 end)")
-    total, matched = " + ".join(parts) or "0", " + ".join(hits) or "0"
+    s = stem(t)
+    return [
+        f"(case when array_contains(path_parts, '{t}') then 0.3 when array_contains(path_stems, '{s}') then 0.25 when contains(path_lower, '{t}') then 0.15 else 0 end)",
+        f"(case when contains(heads, '{t}') then 0.2 when contains(head_stems, '{s}') then 0.15 else 0 end)",
+        f"(case when array_contains(file_parts, '{t}') then 0.2 when array_contains(file_stems, '{s}') then 0.15 when contains(file_lower, '{t}') then 0.1 else 0 end)",
+        f"(case when contains(dir_lower, '{t}') then 0.1 else 0 end)",
+    ]
+
+
+def score_sql(tokens: list[str]) -> str:
+    """SQL of the score in one expression: all points and, from two tokens that hit somewhere on, their coverage."""
+    each = [points_sql(t) for t in tokens]
+    total = " + ".join(p for points in each for p in points) or "0"
+    matched = " + ".join(f"(case when {' + '.join(points)} > 0 then 1 else 0 end)" for points in each) or "0"
     bonus = f"(case when {len(tokens)} > 1 and ({matched}) >= 2 then ({matched}) * 0.3 / {max(1, len(tokens))} else 0 end)"
     return f"round(least(1.0, cast({total} as double) + cast({bonus} as double)), 6)"
 
@@ -71,10 +72,22 @@ def keyword_columns(files: DataFrame) -> DataFrame:
     )
 
 
+def keyword_scored(files: DataFrame, query: str) -> DataFrame:
+    """files with `relevance`, each token's points computed once."""
+    tokens = query_tokens(query)
+    rows = keyword_columns(files)
+    for i, t in enumerate(tokens):
+        rows = rows.withColumn(f"_p{i}", F.expr(" + ".join(points_sql(t))).cast("double"))
+    points = [F.col(f"_p{i}") for i in range(len(tokens))]
+    matched = sum((p > 0).cast("int") for p in points) if points else F.lit(0)
+    bonus = F.when(matched >= 2, matched * 0.3 / len(tokens)).otherwise(0.0) if len(tokens) > 1 else F.lit(0.0)
+    total = sum(points) if points else F.lit(0.0)
+    return rows.withColumn("relevance", F.round(F.least(F.lit(1.0), total + bonus), 6)).drop(*[f"_p{i}" for i in range(len(tokens))])
+
+
 def keyword_find(files: DataFrame, query: str, top: int = 20) -> DataFrame:
     """The best files by keywords, ties by corpus and path. A top-k over all files, without a full sort."""
-    score = F.expr(score_sql(query_tokens(query)))
-    return keyword_columns(files).select("corpus_id", "path", "tokens", "knowledge_type", score.alias("relevance")).filter("relevance > 0").orderBy(F.desc("relevance"), "corpus_id", "path").limit(top)
+    return keyword_scored(files, query).select("corpus_id", "path", "tokens", "knowledge_type", "relevance").filter("relevance > 0").orderBy(F.desc("relevance"), "corpus_id", "path").limit(top)
 
 
 def class_sql(path: str, heads: str, like: str) -> str:

@@ -15,6 +15,10 @@ def stem_sql(w: str) -> str:
     return f"(case {cases} else {w} end)"
 
 
+#: The same as one expression: no suffix of the list stands before a longer one that ends in it.
+STEM_PATTERN = "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$"
+
+
 def stem(word: str) -> str:
     for s in SUFFIXES:
         if len(word) > len(s) + 3 and word.endswith(s):

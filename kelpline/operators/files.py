@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import stem, stem_sql
+from kelpline.functions.text import STEM_PATTERN, stem
 
 #: Patterns by class, each 2 in the path and 1 in the headings; the first class with the most points wins.
 CLASSES = {
@@ -57,7 +57,7 @@ def score_sql(tokens: list[str]) -> str:
 def keyword_columns(files: DataFrame) -> DataFrame:
     """files with the columns that score_sql reads."""
     long = lambda c: f"filter({c}, x -> length(x) >= 2)"
-    stems = lambda c: f"transform(filter({c}, x -> length(x) >= 3), x -> {stem_sql('x')})"
+    stems = lambda c: f"transform(filter({c}, x -> length(x) >= 3), x -> regexp_replace(x, '{STEM_PATTERN}', '$1'))"
     name = r"regexp_extract(path, '([^/]*?)([.][^./]*)?$', 1)"
     return (
         files.withColumn("path_lower", F.lower("path"))

@@ -3,8 +3,10 @@
 Unit vectors pass through fast Hadamard pseudo-rotations; the nearest signed
 axis is a hash, `hashes` of them make the key of a table. Each vector stands
 in its own bucket of every table and probes the next best buckets as well.
-Buckets give candidates by an 8-bit copy of the vectors; those within the
-rounding margin are ranked again by exact cosines of the full vectors.
+Buckets give candidates by a rounded copy of the vectors (8 bits with a floor,
+16 without); those within the rounding margin of the floor, or of the k-th best,
+are ranked again by exact cosines of the full vectors. However many there are,
+none is cut before that.
 
 Copies of one vector are one class while searching: only their k + 1 smallest
 ids can be in a list of the k best, so nothing is lost. A bucket with many
@@ -32,8 +34,14 @@ from kelpline.llm.vectors import DIMS, classes_of, matrix, pseudo_rotation, unit
 from kelpline.session import stored
 
 TILE = 2048
-#: The 8-bit copy of a unit vector is off by at most sqrt(DIMS) / 254 in length.
-MARGIN = 2 * math.sqrt(DIMS) / 254
+#: Steps from 0 to 1 of the rounded copies: with a floor, and without, where all within twice the margin of the k-th best stay.
+BYTE, SHORT = 127, 32767
+
+
+def margin(steps: int) -> float:
+    """How far the cosine of two rounded copies can be off: each copy by sqrt(DIMS) / 2 steps in length, and the float32 sum."""
+    off = math.sqrt(DIMS) / (2 * steps)
+    return 2 * off + off * off + 1e-5
 
 
 def hashes_for(rows: int, bucket: int = 64, dims: int = DIMS) -> int:
@@ -59,7 +67,7 @@ def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarra
     return np.take_along_axis(keys, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
 
 
-def _hashed(tables: int, hashes: int, probes: int):
+def _hashed(tables: int, hashes: int, probes: int, steps: int = BYTE):
     """Rows (bucket, probing, id, code) of each vector: one per own bucket, one per further probe."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +75,7 @@ def _hashed(tables: int, hashes: int, probes: int):
             for at in range(0, len(batch), 4096):
                 part = batch.iloc[at : at + 4096]
                 x = unit(matrix(part["v"]))
-                code = [c.tobytes() for c in np.rint(x * 127).astype(np.int8)]
+                code = [c.tobytes() for c in np.rint(x * steps).astype(np.int8 if steps == BYTE else np.int16)]
                 asks = part["asks"].to_numpy()
                 ids = part["class_id"].to_numpy()
                 for t in range(tables):
@@ -81,21 +89,23 @@ def _hashed(tables: int, hashes: int, probes: int):
     return run
 
 
-def _close_pairs(floor: float | None, keep: int):
-    """Candidates of each bucket tile, read as runs of sorted (bucket, tile_a, tile_b)."""
+def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
+    """Candidates of each bucket tile, read as runs of sorted (bucket, tile_a, tile_b).
+
+    Without a floor, all that can be among the k best of the tile: the k-th
+    best and a candidate may both be off by the margin.
+    """
 
     def of(left, right):
         ia, ib = left[0], right[0]
-        s = left[1].astype(np.float32) @ right[1].astype(np.float32).T / np.float32(127 * 127)
+        s = (left[1] / np.float32(steps)) @ (right[1] / np.float32(steps)).T
         s[ia[:, None] == ib[None, :]] = -2
         if floor is not None:
-            p, q = np.nonzero(s >= floor - MARGIN)
+            p, q = np.nonzero(s >= floor - margin(steps))
         else:
-            n = min(keep, s.shape[1])
-            q = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-            p = np.repeat(np.arange(len(ia)), n)
-            ok = s[p, q] > -2
-            p, q = p[ok], q[ok]
+            n = min(k, s.shape[1])
+            kth = np.partition(s, -n, axis=1)[:, -n]
+            p, q = np.nonzero(s >= np.maximum(kth - 2 * margin(steps), -1.5)[:, None])
         return ia[p], ib[q], s[p, q]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +118,7 @@ def _close_pairs(floor: float | None, keep: int):
                 if not len(batch):
                     continue
                 cells = batch[["bucket", "tile_a", "tile_b"]].to_numpy()
-                codes = np.frombuffer(b"".join(batch["code"]), np.int8).reshape(len(batch), -1)
+                codes = np.frombuffer(b"".join(batch["code"]), np.int8 if steps == BYTE else np.int16).reshape(len(batch), -1)
                 now, done = (cells, batch["id"].to_numpy(), batch["side"].to_numpy() == 0, codes), False
                 if kept is not None:
                     now = tuple(np.concatenate(x) for x in zip(kept, now))
@@ -166,13 +176,15 @@ def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 1
     hashes = hashes or hashes_for(classes.count())
 
     schema = "bucket bigint, probing boolean, asks boolean, id bigint, code binary"
-    hashed = stored(classes.select("class_id", "v", "asks").mapInPandas(_hashed(tables, hashes, probes), schema), "hashed")
+    steps = SHORT if floor is None else BYTE
+    hashed = stored(classes.select("class_id", "v", "asks").mapInPandas(_hashed(tables, hashes, probes, steps), schema), "hashed")
     cells = _tiles(hashed).repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-    near = cells.mapInPandas(_close_pairs(floor, k + 6), "q bigint, b bigint, near float")
+    near = cells.mapInPandas(_close_pairs(floor, k, steps), "q bigint, b bigint, near float")
     near = near.groupBy("q", "b").agg(F.max("near").alias("near"))
     if floor is None:  # the rounding margin decides which can still be among the k best
-        w = Window.partitionBy("q").orderBy(F.desc("near"))
-        near = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 4 * k).drop("_r")
+        w = Window.partitionBy("q").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        kth = F.coalesce(F.nth_value("near", k).over(w), F.lit(-2.0))
+        near = near.withColumn("_kth", kth).filter(F.col("near") >= F.col("_kth") - 2 * margin(steps)).drop("_kth")
 
     vectors = classes.select("class_id", "v", "first_ids")
     exact = near.join(vectors.select(F.col("class_id").alias("q"), F.col("v").alias("va")), "q").join(vectors.select(F.col("class_id").alias("b"), F.col("v").alias("vb"), F.col("first_ids").alias("ids")), "b")

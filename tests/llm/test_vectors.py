@@ -51,6 +51,17 @@ def test_recall_without_floor(spark):
     assert len(got & want) / len(want) >= 0.9 and {i for i, _ in got} == {i for i, _ in want}
 
 
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_dense_groups_without_floor_are_exact(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    rng = np.random.default_rng(4)
+    centre, other = rng.normal(size=(2, 64))
+    rows = [(i, list(map(float, centre * s))) for i, s in zip(rng.permutation(200).tolist(), rng.uniform(0.1, 9, 200))]  # cosine 1: the smallest ids
+    rows += [(1000 + i, list(map(float, other + 0.001 * rng.normal(size=64)))) for i in range(200)]  # nearer than 8 bits tell
+    got = {(r.id, r.neighbour, r.similarity) for r in N.similar_vectors(frame(spark, rows), "entry_id", "embedding", k=10, tables=4, probes=4, hashes=1).collect()}
+    assert got == brute(rows, 10, -1)
+
+
 def test_no_vectors(spark):
     assert N.similar_vectors(frame(spark, []), "entry_id", "embedding").count() == 0
     assert N.similar_vectors(frame(spark, [(1, None), (2, [1.0] * 64)]), "entry_id", "embedding").count() == 0

@@ -21,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -67,6 +68,29 @@ def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarra
     return np.take_along_axis(keys, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
 
 
+@functools.cache
+def search_for(hashes: int, floor: float, both: bool = True, least: int = 6, most: int = 64) -> tuple[int, int]:
+    """(tables, probes) by which 995 of 1000 pairs at the floor are found with keys of so many hashes.
+
+    A pair is found when either side probes the other's bucket, or, unless
+    both sides ask, when the first does. Counted on drawn pairs, because
+    longer keys part more pairs; a floor out of reach of `most` tables gets those.
+    """
+    probes = 4 << max(0, hashes - 2)
+    rng = np.random.default_rng(11)
+    a, b = (unit(x) for x in rng.normal(size=(2, 1000, DIMS)))
+    b = floor * a + math.sqrt(max(0.0, 1 - floor * floor)) * unit(b - (a * b).sum(1, keepdims=True) * a)
+    found = np.zeros(len(a), bool)
+    for t in range(most):
+        keys_a, keys_b = probe_keys(a, t, hashes, probes), probe_keys(b, t, hashes, probes)
+        found |= (keys_a == keys_b[:, :1]).any(axis=1)
+        if both:
+            found |= (keys_b == keys_a[:, :1]).any(axis=1)
+        if t + 1 >= least and found.mean() >= 0.995:
+            break
+    return t + 1, probes
+
+
 def _hashed(tables: int, hashes: int, probes: int, steps: int = BYTE):
     """Rows (bucket, probing, id, code) of each vector: one per own bucket, one per further probe."""
 
@@ -92,6 +116,7 @@ def _hashed(tables: int, hashes: int, probes: int, steps: int = BYTE):
 def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
     """Candidates of each bucket tile, read as runs of sorted (bucket, tile_a, tile_b).
 
+    A pair counts for both its sides if both ask, whichever probed the other.
     Without a floor, all that can be among the k best of the tile: the k-th
     best and a candidate may both be off by the margin.
     """
@@ -106,7 +131,8 @@ def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
             n = min(k, s.shape[1])
             kth = np.partition(s, -n, axis=1)[:, -n]
             p, q = np.nonzero(s >= np.maximum(kth - 2 * margin(steps), -1.5)[:, None])
-        return ia[p], ib[q], s[p, q]
+        back = right[2][q]
+        return np.concatenate([ia[p], ib[q][back]]), np.concatenate([ib[q], ia[p][back]]), np.concatenate([s[p, q], s[p, q][back]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, out, n = None, [], 0
@@ -119,17 +145,17 @@ def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
                     continue
                 cells = batch[["bucket", "tile_a", "tile_b"]].to_numpy()
                 codes = np.frombuffer(b"".join(batch["code"]), np.int8 if steps == BYTE else np.int16).reshape(len(batch), -1)
-                now, done = (cells, batch["id"].to_numpy(), batch["side"].to_numpy() == 0, codes), False
+                now, done = (cells, batch["id"].to_numpy(), batch["side"].to_numpy() == 0, codes, batch["asks"].to_numpy()), False
                 if kept is not None:
                     now = tuple(np.concatenate(x) for x in zip(kept, now))
             if now is None:
                 break
-            cells, ids, is_left, codes = now
+            cells, ids, is_left, codes, asks = now
             starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(cells)] * done]).astype(int)
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 lefts = is_left[s:e]
                 if e - s > 1 and lefts.any() and not lefts.all():
-                    got = of((ids[s:e][lefts], codes[s:e][lefts]), (ids[s:e][~lefts], codes[s:e][~lefts]))
+                    got = of((ids[s:e][lefts], codes[s:e][lefts]), (ids[s:e][~lefts], codes[s:e][~lefts], asks[s:e][~lefts]))
                     if len(got[0]):
                         out.append(got)
                         n += len(got[0])
@@ -162,18 +188,21 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 10, floor: float | None = None, tables: int = 6, probes: int = 4, hashes: int | None = None, asking: str = "true") -> DataFrame:
+def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 10, floor: float | None = None, tables: int | None = None, probes: int | None = None, hashes: int | None = None, asking: str = "true") -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar rows of each row that satisfies `asking`.
 
     similarity is the cosine rounded to 6 decimals; with floor only neighbours
     of at least that similarity come out. hashes: per key; by default from the
-    number of rows. More tables and probes cost time and miss less.
+    number of rows. More tables and probes cost time and miss less; with a floor
+    they follow by default from the hashes, so that recall holds at every size.
     """
     rows = entries.filter(usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(asking).alias("ask")).filter("id is not null").dropDuplicates(["id"])
     rows = stored(rows, "vectors")
     asked = rows.groupBy("v").agg(F.max("ask").alias("asks"))
     classes = stored(classes_of(rows, "id", "v", k + 1).join(asked, "v").select("class_id", "first_ids", "v", "asks"), "classes")
     hashes = hashes or hashes_for(classes.count())
+    by_default = (6, 4) if floor is None or tables and probes else search_for(hashes, floor, asking == "true")
+    tables, probes = tables or by_default[0], probes or by_default[1]
 
     schema = "bucket bigint, probing boolean, asks boolean, id bigint, code binary"
     steps = SHORT if floor is None else BYTE

@@ -62,6 +62,16 @@ def test_dense_groups_without_floor_are_exact(spark, monkeypatch, tile):
     assert got == brute(rows, 10, -1)
 
 
+def test_recall_holds_with_three_hashes(spark):
+    rng = np.random.default_rng(6)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 400, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + j, list(map(float, x))) for i in range(400) for j, x in enumerate((a[i], b[i]))]
+    got = {(r.id, r.neighbour) for r in N.similar_vectors(frame(spark, rows), "entry_id", "embedding", k=10, floor=0.9, hashes=3).collect()}
+    assert got == {(j, i) for i, j in got} and len(got) >= 0.985 * 800
+
+
 def test_no_vectors(spark):
     assert N.similar_vectors(frame(spark, []), "entry_id", "embedding").count() == 0
     assert N.similar_vectors(frame(spark, [(1, None), (2, [1.0] * 64)]), "entry_id", "embedding").count() == 0

@@ -2,14 +2,15 @@
 
 A unit vector is pseudo-rotated, its first `axes` coordinates are quantised to
 `bits` bits each, and the place of that cell on the Hilbert curve is its key.
-Cells that follow each other on the curve are close in space. Distinct cells
-are sorted globally, evenly spaced cells are chosen, and of each chosen cell the
-best record. A large group of near-equal records fills few cells and so takes
-few places.
+Cells that follow each other on the curve are close in space, but records that
+are alike seldom share one. So a record that is alike to a better kept one of
+its group is left out first, by exact cosine; the kept ones are sorted globally
+by key and evenly spaced ones are chosen. A large group of near-equal records
+keeps few and so takes few places.
 
 Defined cases: rows with an unusable vector (see vectors.usable) or a null best
 value are left out; of rows that tie as best the smallest id is chosen; repeated
-rows count once; groups with fewer cells than places give one record per cell;
+rows count once; groups with fewer kept records than places give them all;
 an empty table gives an empty result.
 """
 
@@ -22,8 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm.neighbours import _close_pairs, _hashed, _tiles, hashes_for, search_for
 from kelpline.llm.vectors import matrix, pseudo_rotation, unit, usable
 from kelpline.plans.ranks import with_global_rank
+from kelpline.session import stored
 
 AXES, BITS = 6, 4
 ALIKE = 0.9
@@ -81,19 +84,67 @@ def with_curve_key(df: DataFrame, vector_col: str, axes: int = AXES, bits: int =
     return df.filter(usable(vector_col)).mapInPandas(run, df.select("*", F.lit(0).cast("bigint").alias("key")).schema)
 
 
-def varied_subset(df: DataFrame, group_col: str, id_col: str, best_col: str, vector_col: str, size: int, axes: int = AXES, bits: int = BITS) -> DataFrame:
-    """(group, id, key): `size` records of each group, evenly spaced over its distinct cells.
+def alike_edges(nodes: DataFrame, alike: float) -> DataFrame:
+    """(better, worse) of each pair of nodes (grp, node, first, v) of one group alike by exact cosine; better has the smaller first.
 
-    Groups may be of any size: cells are reduced with map-side combine, ranked
-    by a global sort over all groups, and the places follow from the rank
-    within the group; no group meets in one task.
+    Candidates share a bucket of their group (see neighbours). All pairs are
+    compared: quadratic in the size of a dense group, in tiles of bounded size.
+    """
+    hashes = hashes_for(nodes.count())
+    tables, probes = search_for(hashes, alike)
+    hashed = _hashed(tables, hashes, probes)
+
+    def by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for salt, part in batch.groupby("salt"):
+                for out in hashed(iter([part])):
+                    yield out.assign(bucket=out["bucket"].to_numpy() ^ salt)
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                s = np.einsum("ij,ij->i", unit(matrix(batch["va"])), unit(matrix(batch["vb"])))
+                yield batch.loc[np.round(s, 6) >= alike, ["better", "worse"]]
+
+    asked = nodes.select(F.col("node").alias("class_id"), "v", F.lit(True).alias("asks"), F.xxhash64("grp").alias("salt"))
+    rows = stored(asked.mapInPandas(by_group, "bucket bigint, probing boolean, asks boolean, id bigint, code binary"), "alike_hashed")
+    cells = _tiles(rows).repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+    near = cells.mapInPandas(_close_pairs(alike, 1), "q bigint, b bigint, near float").select("q", "b").distinct()
+    side = lambda id, x: nodes.select(F.col("node").alias(id), F.col("grp").alias(f"grp_{x}"), F.col("first").alias(f"first_{x}"), F.col("v").alias(f"v{x}"))
+    both = near.join(side("q", "a"), "q").join(side("b", "b"), "b").filter("grp_a = grp_b and first_a < first_b")
+    return both.select(F.col("q").alias("better"), F.col("b").alias("worse"), "va", "vb").mapInPandas(exact, "better bigint, worse bigint")
+
+
+def without_alike(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of which none is alike to a better kept one, as if taken best first.
+
+    In each round nodes without a better neighbour left are kept and their
+    neighbours go; every edge is better to worse, so each round ends some.
+    """
+    edges = stored(edges, "alike_edges")
+    while not edges.isEmpty():
+        kept = edges.select(F.col("better").alias("node")).distinct().join(edges.select(F.col("worse").alias("node")).distinct(), "node", "left_anti")
+        gone = stored(edges.join(kept.withColumnRenamed("node", "better"), "better", "left_semi").select(F.col("worse").alias("node")).distinct(), "alike_gone")
+        nodes = nodes.join(gone, "node", "left_anti")
+        edges = stored(edges.join(gone.withColumnRenamed("node", "better"), "better", "left_anti").join(gone.withColumnRenamed("node", "worse"), "worse", "left_anti"), "alike_edges")
+    return nodes
+
+
+def varied_subset(df: DataFrame, group_col: str, id_col: str, best_col: str, vector_col: str, size: int, axes: int = AXES, bits: int = BITS, alike: float = ALIKE) -> DataFrame:
+    """(group, id, key): `size` records of each group, evenly spaced along the curve over those that are not alike to a better one.
+
+    Groups may be of any size: equal vectors are reduced with map-side combine,
+    the kept records are ranked by a global sort over all groups, and the places
+    follow from the rank within the group; no group meets in one task.
     """
     rows = df.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(best_col).alias("best"), F.col(vector_col).alias("v")).filter("grp is not null and id is not null and best is not null")
-    cells = with_curve_key(rows, "v", axes, bits).groupBy("grp", "key").agg(F.min(F.struct("best", "id")).alias("first"))
-    ranked = with_global_rank(cells.select("grp", "key", F.col("first.id").alias("id")), ["grp", "key"])
-    groups = ranked.groupBy("grp").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("cells"))
+    nodes = rows.filter(usable("v")).withColumn("v", F.col("v").cast("array<double>")).groupBy("grp", "v").agg(F.min(F.struct("best", "id")).alias("first")).withColumn("node", F.xxhash64("grp", "v"))
+    nodes = stored(nodes.withColumn("first", F.struct("first.best", "first.id", "node")), "alike_nodes")
+    kept = with_curve_key(without_alike(nodes, alike_edges(nodes, alike)), "v", axes, bits)
+    ranked = with_global_rank(kept.select("grp", "key", F.col("first.id").alias("id")), ["grp", "key", "id"])
+    groups = ranked.groupBy("grp").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("kept"))
     at = F.col("rank") - F.col("start")
-    step = lambda i: F.floor(i * F.lit(size) / F.col("cells"))
+    step = lambda i: F.floor(i * F.lit(size) / F.col("kept"))
     return ranked.join(groups, "grp").filter(step(at + 1) > step(at)).select("grp", "id", "key")
 
 

@@ -113,3 +113,19 @@ def test_subset_of_groups_is_spread(spark):
     got = S.varied_subset(df.unionByName(df), "corpus", "entry_id", "best", "embedding", 20).collect()
     assert len(got) == 20 and sum(r.id < 1000 for r in got) <= 1
     assert S.varied_subset(df.limit(0), "corpus", "entry_id", "best", "embedding", 20).count() == 0
+
+
+def test_noisy_group_takes_few_places(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    rows = [(i, list(map(float, centre + 0.2 * rng.normal(size=64)))) for i in range(150)] + [(1000 + i, list(map(float, rng.normal(size=64)))) for i in range(150)]
+    df = frame(spark, rows).withColumn("corpus", F.lit("c")).withColumn("best", F.col("entry_id"))
+    ids = {r.id for r in S.varied_subset(df, "corpus", "entry_id", "best", "embedding", 20).collect()}
+    assert len(ids) == 20 and sum(i < 1000 for i in ids) <= 1
+    kept = {r.id for r in S.varied_subset(df, "corpus", "entry_id", "best", "embedding", 1000).collect()}
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    want = []
+    for i in sorted(x):
+        if all(round(float(x[i] @ x[j]), 6) < 0.9 for j in want):
+            want.append(i)
+    assert kept == set(want)

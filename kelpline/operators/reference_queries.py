@@ -22,7 +22,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that are referenced now and do not exist now, from the signed ledger."""
+    """Keys that do not exist now, with the references of all rows ever delivered, as its SQL counts; p5_live counts those that stand now."""
     entities = table(spark, sf_dir, "entities")
     refs = R.entity_references(entities).groupBy("field", "ref_id").agg(F.count(F.lit(1)).alias("refs")).withColumn("existence", F.lit(0).cast("bigint"))
     alive = R.entity_existence(entities, table(spark, sf_dir, "entity_deletions"), table(spark, sf_dir, "source_records"))
@@ -30,6 +30,14 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.current_orphans(R.apply_deltas(refs, alive)).select(F.col("field").alias("ref_field"), "ref_id", "refs")
 
 
+def p5_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are referenced now, by the last row of an entity that is not deleted, and do not exist now."""
+    entities, deletions = table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_deletions")
+    refs = R.reference_deltas(entities, deletions).withColumn("existence", F.lit(0).cast("bigint"))
+    alive = R.entity_existence(entities, deletions, table(spark, sf_dir, "source_records")).withColumn("refs", F.lit(0).cast("bigint"))
+    return R.current_orphans(R.apply_deltas(refs, alive)).select(F.col("field").alias("ref_field"), "ref_id", "refs")
+
+
 _BASE = r"""
 with raw as (
   select 'wiki_links' as ref_field, row_id, updated_at, unnest(wiki_links) as ref from entities
@@ -52,12 +60,18 @@ found as (
   where b.t is null or b.t > g.updated_at or (d.t is not null and d.t <= g.updated_at))
 """
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_current": p5_current, "p5_live": p5_live}
 
 SQL = {
     "p5_found": _BASE + "select * from found",
     "p5_report": _BASE + "select ref_field, ref_month, count(*) as orphan_refs, count(distinct ref_id) as orphan_keys, count(distinct row_id) as rows_affected from found group by 1, 2",
     "p5_current": _BASE + """
 select g.ref_field, g.ref_id, count(*) as refs from good g left join born b using (ref_field, ref_id) left join died d using (ref_field, ref_id)
+where (case when b.t is null then 0 else 1 end) - (case when d.t is null then 0 else 1 end) <= 0 group by 1, 2""",
+    "p5_live": _BASE + """,
+live as (
+  select row_id from entities e where not exists (select 1 from entity_deletions d where d.deleted_at is not null and lower(trim(d.entity_id)) = lower(trim(e.id)))
+  qualify e.id is null or row_number() over (partition by lower(trim(e.id)) order by e.updated_at desc nulls last, e.row_id desc) = 1)
+select g.ref_field, g.ref_id, count(*) as refs from good g join live using (row_id) left join born b using (ref_field, ref_id) left join died d using (ref_field, ref_id)
 where (case when b.t is null then 0 else 1 end) - (case when d.t is null then 0 else 1 end) <= 0 group by 1, 2""",
 }

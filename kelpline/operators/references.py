@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.plans.joins import salted_join
@@ -69,6 +69,21 @@ def entity_references(entities: DataFrame) -> DataFrame:
     return both.withColumn("ref_id", clean_ref("ref")).filter("ref_id <> '' and not startswith(ref_id, 'https://')").select("field", "row_id", "ref_id", "at").distinct()
 
 
+def reference_deltas(entities: DataFrame, deletions: DataFrame) -> DataFrame:
+    """(field, ref_id, at, refs): +1 at a row's updated_at, -1 at the next row of its id or the entity's deletion.
+
+    Rows of one id follow each other by updated_at, then row_id. A deletion
+    before the row ends its references at once. Rows without an id stay.
+    """
+    gone = deletions.filter("entity_id is not null and deleted_at is not null").groupBy(clean_ref(F.col("entity_id")).alias("_id")).agg(F.min("deleted_at").alias("_gone"))
+    order = Window.partitionBy("_id").orderBy("updated_at", "row_id")
+    ended = entities.select("row_id", "updated_at", clean_ref(F.col("id")).alias("_id")).filter("_id is not null").withColumn("_next", F.lead("updated_at").over(order)).join(gone, "_id", "left")
+    ended = ended.withColumn("until", F.greatest(F.least("_next", "_gone"), "updated_at")).filter("until is not null and (_next is not null or _gone is not null)").select("row_id", "until")
+    refs = entity_references(entities)
+    ends = refs.join(ended, "row_id").select("field", "ref_id", F.col("until").alias("at"), F.lit(-1).cast("bigint").alias("refs"))
+    return refs.select("field", "ref_id", "at", F.lit(1).cast("bigint").alias("refs")).unionByName(ends)
+
+
 def entity_existence(entities: DataFrame, deletions: DataFrame, records: DataFrame) -> DataFrame:
     """The existence deltas of entities and of source records."""
     key = lambda df, field, ref, at: df.select(F.lit(field).alias("field"), clean_ref(ref).alias("ref_id"), F.col(at).alias("at"))

@@ -36,6 +36,14 @@ def test_ledger_of_deltas(spark):
     assert [r.ref_id for r in R.current_orphans(ledger).collect()] == ["b"]
 
 
+def test_references_end(spark):
+    rows = [(1, "A", ["x", "y"], at(1)), (2, "a ", ["y"], at(2)), (3, "b", ["x"], at(1)), (4, None, ["z"], at(1)), (5, "c", ["w"], at(1))]
+    entities = spark.createDataFrame([(*r[:3], None, r[3]) for r in rows], "row_id bigint, id string, wiki_links array<string>, evidence array<struct<source_id:string>>, updated_at timestamp")
+    deletions = spark.createDataFrame([("B", at(3)), ("b", at(5)), ("c", None)], "entity_id string, deleted_at timestamp")
+    got = R.reference_deltas(entities, deletions).groupBy("ref_id").sum("refs").collect()
+    assert sorted(map(tuple, got)) == [("w", 1), ("x", 0), ("y", 1), ("z", 1)]
+
+
 def test_salted_join_keeps_all_rows(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (3, 51)], "k int, i int")
     right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")

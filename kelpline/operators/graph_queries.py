@@ -93,7 +93,7 @@ def ev_sessions(spark, sf_dir):
 
 
 def ev_as_of(spark, sf_dir):
-    """Each event with its user's last earlier event of another type."""
+    """Each event with the type of its user's directly preceding event, which may be the same type, as its SQL counts."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").withColumn("before_type", F.lag("event_type").over(w)).withColumn("gap_s", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1_000_000))
     return rows.groupBy("event_type", "before_type").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.max("gap_s"), F.lit(-1)).alias("longest_gap_s"))

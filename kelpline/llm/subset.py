@@ -6,7 +6,8 @@ Cells that follow each other on the curve are close in space, but records that
 are alike seldom share one. So a record that is alike to a better kept one of
 its group is left out first, by exact cosine; the kept ones are sorted globally
 by key and evenly spaced ones are chosen. A large group of near-equal records
-keeps few and so takes few places.
+keeps few and so takes few places. Lists that fit a row are sorted along several
+curves, and only neighbours on one of them are compared.
 
 Defined cases: rows with an unusable vector (see vectors.usable) or a null best
 value are left out; of rows that tie as best the smallest id is chosen; repeated
@@ -29,6 +30,7 @@ from kelpline.plans.ranks import with_global_rank
 from kelpline.session import stored
 
 AXES, BITS = 6, 4
+CURVES, SEED = 6, 17  # curves on which the members of a list may become neighbours
 ALIKE = 0.9
 
 
@@ -64,7 +66,7 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(v: np.ndarray, axes: int = AXES, bits: int = BITS, seed: int = 17) -> np.ndarray:
+def curve_keys(v: np.ndarray, axes: int = AXES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """Curve keys of unit vectors. A coordinate has about a normal law of deviation 1/sqrt(d); it is cut at two deviations."""
     r = pseudo_rotation(v, seed)[:, :axes]
     reach = 2 / np.sqrt(v.shape[1])
@@ -148,15 +150,38 @@ def varied_subset(df: DataFrame, group_col: str, id_col: str, best_col: str, vec
     return ranked.join(groups, "grp").filter(step(at + 1) > step(at)).select("grp", "id", "key")
 
 
-def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: float = ALIKE, axes: int = AXES, bits: int = BITS) -> DataFrame:
+def curve_cells(v: np.ndarray, keys: np.ndarray, alike: float) -> list[int]:
+    """The best (first) record of each cell; v and the rows of keys (one column per curve) come best first.
+
+    Along each curve only neighbours are compared: alike ones are one cell.
+    """
+    best = np.arange(len(v))
+
+    def top(i: int) -> int:
+        while best[i] != i:
+            best[i] = best[best[i]]
+            i = best[i]
+        return i
+
+    for curve in range(keys.shape[1]):
+        order = np.argsort(keys[:, curve], kind="stable")
+        near = np.round(np.einsum("ij,ij->i", v[order[:-1]], v[order[1:]]), 6) >= alike
+        for i, j in zip(order[:-1][near].tolist(), order[1:][near].tolist()):
+            i, j = top(i), top(j)
+            best[max(i, j)] = min(i, j)
+    return [i for i in range(len(v)) if best[i] == i]
+
+
+def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: float = ALIKE, axes: int = AXES, bits: int = BITS, curves: int = CURVES) -> DataFrame:
     """For lists that each fit a row: `chosen`, the names chosen of each list.
 
-    members: array<struct<place, name, v>>, one list's usable members. The cells
-    of each list are sorted by curve key; cells whose best records are alike by
-    exact cosine become one cell of the better record, and records of one cell
-    that are not alike become cells of their own; `size` evenly spaced cells
-    are chosen in curve order and the best (first) record of each. A null size
-    chooses nothing. The length of a list is that of one row's array.
+    members: array<struct<place, name, v>>, one list's usable members. They are
+    sorted by their keys on `curves` Hilbert curves of differently rotated
+    space. Neighbours on a curve that are alike by exact cosine share a cell;
+    records that no curve brings together do not meet. Then `size` evenly
+    spaced cells along the first curve are chosen and the best (first) record
+    of each. A null size chooses nothing. The length of a list is that of one
+    row's array, and the work grows with it as a sort does.
     """
     names = [c for c in lists.columns if c != members_col]
     schema = lists.select(*names, F.array(F.lit("")).alias("chosen")).schema
@@ -166,21 +191,12 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
             return []
         members = sorted(members, key=lambda m: m["place"])
         v = unit(np.stack([m["v"] for m in members]))
-        keys = curve_keys(v, axes, bits)
-        unlike = lambda i, others: (np.round(v[others] @ v[i], 6) < alike).all()
-        best: dict[int, list[int]] = {}
-        for i, key in enumerate(keys.tolist()):  # members come best first
-            if key not in best or unlike(i, best[key]):
-                best.setdefault(key, []).append(i)
-        kept: list[int] = []
-        for i in sorted(i for cell in best.values() for i in cell):
-            if not kept or unlike(i, kept):
-                kept.append(i)
-        kept.sort(key=lambda i: (keys[i], i))
-        n, size = len(kept), max(0, size)
+        keys = np.stack([curve_keys(v, axes, bits, SEED + c) for c in range(curves)], axis=1)
+        cells = sorted(curve_cells(v, keys, alike), key=lambda i: (keys[i, 0], i))
+        n, size = len(cells), max(0, size)
         if n > size:
-            kept = [i for at, i in enumerate(kept) if (at + 1) * size // n > at * size // n]
-        return [members[i]["name"] for i in sorted(kept)]
+            cells = [i for at, i in enumerate(cells) if (at + 1) * size // n > at * size // n]
+        return [members[i]["name"] for i in sorted(cells)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

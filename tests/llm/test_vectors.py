@@ -105,6 +105,18 @@ def test_subset_of_lists_takes_one_of_each_group(spark):
     assert len(got[2]) == 2 and set(got[2]) < set(got[1]) and got[3] == ["f0"] and got[4] == got[5] == []
 
 
+def test_the_curves_decide_which_members_meet(monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 64))
+    group = rng.permutation(np.repeat(np.arange(12), 5))
+    v = centres[group] + 0.1 * rng.normal(size=(60, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    keys = np.stack([S.curve_keys(v, seed=S.SEED + c) for c in range(S.CURVES)], axis=1)
+    first = [int(np.flatnonzero(group == g)[0]) for g in range(12)]
+    assert S.curve_cells(v, keys, 0.9) == sorted(first)
+    assert len(S.curve_cells(v, rng.permutation(keys), 0.9)) > 12  # without the order of the curve alike members do not meet
+
+
 def test_subset_of_groups_is_spread(spark):
     rng = np.random.default_rng(5)
     big = list(map(float, rng.normal(size=64)))

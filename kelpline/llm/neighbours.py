@@ -3,10 +3,10 @@
 Unit vectors pass through fast Hadamard pseudo-rotations; the nearest signed
 axis is a hash, `hashes` of them make the key of a table. Each vector stands
 in its own bucket of every table and probes the next best buckets as well.
-Buckets give candidates by a rounded copy of the vectors (8 bits with a floor,
-16 without); those within the rounding margin of the floor, or of the k-th best,
-are ranked again by exact cosines of the full vectors. However many there are,
-none is cut before that.
+Buckets give candidates by copies of 8 bits a number, scaled to each vector's
+largest one, of which it is known how far they are off. Every candidate that,
+within that, may reach the floor or be among the k best is ranked again by the
+exact cosine of the full vectors. However many there are, none is cut before that.
 
 Copies of one vector are one class while searching: only their k + 1 smallest
 ids can be in a list of the k best, so nothing is lost. A bucket with many
@@ -15,7 +15,7 @@ separate tasks, so no task holds a whole bucket and no pair is dropped.
 
 Defined cases: vectors that are null, of another length, with null, NaN or
 infinite numbers, or all zero, and rows with a null id are left out; ties go to the smaller id; repeated
-rows of one id count once; an empty table gives an empty result; other columns
+rows of one id count once, with one of its vectors; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -31,18 +31,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.vectors import DIMS, classes_of, matrix, pseudo_rotation, unit, usable
+from kelpline.llm.vectors import DIMS, matrix, pseudo_rotation, unit, usable
 from kelpline.session import stored
 
 TILE = 2048
-#: Steps from 0 to 1 of the rounded copies: with a floor, and without, where all within twice the margin of the k-th best stay.
-BYTE, SHORT = 127, 32767
+#: Without a floor, the cosine and the share of pairs of that cosine that tables and probes are chosen for.
+FAR, FAR_SHARE = 0.4, 0.95
 
 
-def margin(steps: int) -> float:
-    """How far the cosine of two rounded copies can be off: each copy by sqrt(DIMS) / 2 steps in length, and the float32 sum."""
-    off = math.sqrt(DIMS) / (2 * steps)
-    return 2 * off + off * off + 1e-5
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as rows of bytes: the step, how far the cosine of two copies may be off by this one, and a byte for each number.
+
+    With e the error of a copy, a cosine is off by |e| + |f| + 3 |e| |f| at most.
+    """
+    step = (np.abs(x).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    code = np.rint(x / step).astype(np.int8)
+    off = np.linalg.norm(x - code * step, axis=1, keepdims=True)
+    head = np.concatenate([step, (off + 1.5 * off * off + 1e-5).astype(np.float32)], axis=1)
+    return np.concatenate([head.view(np.int8), code], axis=1)
+
+
+def restored(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, how far each may be off) of the rows of `rounded`."""
+    raw = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return raw[:, 8:] * head[:, :1], head[:, 1]
 
 
 def hashes_for(rows: int, bucket: int = 64, dims: int = DIMS) -> int:
@@ -62,44 +75,62 @@ def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarra
         score = np.take_along_axis(signed, best, 1)
         order = np.argsort(-score, axis=1, kind="stable")
         per.append((np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)))
-    choices = [c for c in itertools.product(range(tops), repeat=hashes) if np.prod([i + 1 for i in c]) <= probes]
+    choices: list[tuple[int, ...]] = [()]
+    for _ in range(hashes):
+        choices = [(*c, i) for c in choices for i in range(min(tops, probes // math.prod(j + 1 for j in c)))]
     cost = np.stack([sum((s[:, 0] - s[:, i]) ** 2 for (_, s), i in zip(per, c)) for c in choices], 1)
     keys = np.stack([sum(b[:, i].astype(np.int64) * (2 * d) ** h for h, ((b, _), i) in enumerate(zip(per, c))) for c in choices], 1)
     return np.take_along_axis(keys, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
 
 
 @functools.cache
-def search_for(hashes: int, floor: float, both: bool = True, least: int = 6, most: int = 64) -> tuple[int, int]:
+def search_for(hashes: int, floor: float | None, both: bool = True, most: int = 64) -> tuple[int, int]:
     """(tables, probes) by which 995 of 1000 pairs at the floor are found with keys of so many hashes.
 
-    A pair is found when either side probes the other's bucket, or, unless
-    both sides ask, when the first does. Counted on drawn pairs, because
-    longer keys part more pairs; a floor out of reach of `most` tables gets those.
+    Without a floor, FAR_SHARE of the pairs of cosine FAR. A pair is found when
+    either side probes the other's bucket, or, unless both sides ask, when the
+    first does. Counted on drawn pairs, because longer keys part more pairs; a
+    floor out of reach of `most` tables gets those.
     """
-    probes = 4 << max(0, hashes - 2)
+    least, share = (6, 0.995) if floor is not None else (4, FAR_SHARE)
+    probes = 4 << max(0, hashes - 2) if floor is not None else min(8**hashes, 256)
+    at = FAR if floor is None else floor
     rng = np.random.default_rng(11)
-    a, b = (unit(x) for x in rng.normal(size=(2, 1000, DIMS)))
-    b = floor * a + math.sqrt(max(0.0, 1 - floor * floor)) * unit(b - (a * b).sum(1, keepdims=True) * a)
+    a, b = (unit(x) for x in rng.normal(size=(2, 1000 if hashes < 3 or both else 250, DIMS)))
+    b = at * a + math.sqrt(max(0.0, 1 - at * at)) * unit(b - (a * b).sum(1, keepdims=True) * a)
     found = np.zeros(len(a), bool)
     for t in range(most):
-        keys_a, keys_b = probe_keys(a, t, hashes, probes), probe_keys(b, t, hashes, probes)
+        keys_a, keys_b = probe_keys(a, t, hashes, probes), probe_keys(b, t, hashes, probes if both else 1)
         found |= (keys_a == keys_b[:, :1]).any(axis=1)
         if both:
             found |= (keys_b == keys_a[:, :1]).any(axis=1)
-        if t + 1 >= least and found.mean() >= 0.995:
+        if t + 1 >= least and found.mean() >= share:
             break
     return t + 1, probes
 
 
-def _hashed(tables: int, hashes: int, probes: int, steps: int = BYTE):
-    """Rows (bucket, probing, id, code) of each vector: one per own bucket, one per further probe."""
+def _own_buckets(tables: int, hashes: int):
+    """The own bucket of each vector in each table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
+                x = unit(matrix(batch["v"].iloc[at : at + 4096]))
+                for t in range(tables):
+                    yield pd.DataFrame({"bucket": probe_keys(x, t, hashes, 1)[:, 0] * tables + t})
+
+    return run
+
+
+def _hashed(tables: int, hashes: int, probes: int):
+    """Rows (bucket, probing, asks, id, code) of each vector: one per own bucket, one per further probe of those that ask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
                 x = unit(matrix(part["v"]))
-                code = [c.tobytes() for c in np.rint(x * steps).astype(np.int8 if steps == BYTE else np.int16)]
+                code = [c.tobytes() for c in rounded(x)]
                 asks = part["asks"].to_numpy()
                 ids = part["class_id"].to_numpy()
                 for t in range(tables):
@@ -113,49 +144,52 @@ def _hashed(tables: int, hashes: int, probes: int, steps: int = BYTE):
     return run
 
 
-def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
+HASHED = "bucket bigint, probing boolean, asks boolean, id bigint, code binary"
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def _close_pairs(floor: float | None, k: int):
     """Candidates of each bucket tile, read as runs of sorted (bucket, tile_a, tile_b).
 
-    A pair counts for both its sides if both ask, whichever probed the other.
-    Without a floor, all that can be among the k best of the tile: the k-th
-    best and a candidate may both be off by the margin.
+    With a floor, (q, b) with q < b of all that may reach it, whichever asked.
+    Without, (q, b) of all that may be among the k best of q in the tile.
     """
 
     def of(left, right):
         ia, ib = left[0], right[0]
-        s = (left[1] / np.float32(steps)) @ (right[1] / np.float32(steps)).T
-        s[ia[:, None] == ib[None, :]] = -2
+        (xa, ra), (xb, rb) = restored(left[1]), restored(right[1])
+        s = xa @ xb.T
+        off = ra[:, None] + rb[None, :]
+        itself = ia[:, None] == ib[None, :]
         if floor is not None:
-            p, q = np.nonzero(s >= floor - margin(steps))
-        else:
-            n = min(k, s.shape[1])
-            kth = np.partition(s, -n, axis=1)[:, -n]
-            p, q = np.nonzero(s >= np.maximum(kth - 2 * margin(steps), -1.5)[:, None])
-        back = right[2][q]
-        return np.concatenate([ia[p], ib[q][back]]), np.concatenate([ib[q], ia[p][back]]), np.concatenate([s[p, q], s[p, q][back]])
+            p, q = np.nonzero((s + off >= floor) & ~itself)
+            return np.minimum(ia[p], ib[q]), np.maximum(ia[p], ib[q]), (s + off)[p, q], (s - off)[p, q]
+        low = np.where(itself, -3, s - off)
+        n = min(k, s.shape[1])
+        kth = np.partition(low, -n, axis=1)[:, -n]
+        p, q = np.nonzero((s + off >= kth[:, None]) & ~itself)
+        return ia[p], ib[q], (s + off)[p, q], low[p, q]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, out, n = None, [], 0
-        frame = lambda: pd.DataFrame({k: np.concatenate(x) for k, x in zip(("q", "b", "near"), zip(*out))})
+        frame = lambda: pd.DataFrame({k: np.concatenate(x) for k, x in zip(("q", "b", "high", "low"), zip(*out))})
         for batch in itertools.chain(batches, [None]):
             if batch is None:
                 now, done = kept, True
             else:
                 if not len(batch):
                     continue
-                cells = batch[["bucket", "tile_a", "tile_b"]].to_numpy()
-                codes = np.frombuffer(b"".join(batch["code"]), np.int8 if steps == BYTE else np.int16).reshape(len(batch), -1)
-                now, done = (cells, batch["id"].to_numpy(), batch["side"].to_numpy() == 0, codes, batch["asks"].to_numpy()), False
+                now, done = (batch[["bucket", "tile_a", "tile_b"]].to_numpy(), batch["id"].to_numpy(), batch["side"].to_numpy(), batch["code"].to_numpy()), False
                 if kept is not None:
                     now = tuple(np.concatenate(x) for x in zip(kept, now))
             if now is None:
                 break
-            cells, ids, is_left, codes, asks = now
+            cells, ids, side, codes = now
             starts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(cells)] * done]).astype(int)
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                lefts = is_left[s:e]
-                if e - s > 1 and lefts.any() and not lefts.all():
-                    got = of((ids[s:e][lefts], codes[s:e][lefts]), (ids[s:e][~lefts], codes[s:e][~lefts], asks[s:e][~lefts]))
+                lefts, rights = side[s:e] != RIGHT, side[s:e] != LEFT
+                if e - s > 1 and lefts.any() and rights.any():
+                    got = of((ids[s:e][lefts], codes[s:e][lefts]), (ids[s:e][rights], codes[s:e][rights]))
                     if len(got[0]):
                         out.append(got)
                         n += len(got[0])
@@ -169,23 +203,42 @@ def _close_pairs(floor: float | None, k: int, steps: int = BYTE):
     return run
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Each hashed row once per pair of tiles in which it takes part.
+PAIRS = "q bigint, b bigint, high float, low float"
 
-    Buckets of at most TILE rows are one tile. Larger ones are cut by a hash of
-    the id into n tiles; a row asks in n cells as the left and answers in n as
-    the right. Counting is a map-side combined aggregate; only large buckets'
-    counts come back as a join side.
+
+def _in_tiles(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The hashed rows by bucket and tile, sorted. sizes: (bucket, n), the rows that stand in each.
+
+    Buckets of at most TILE rows are one tile, in which a row that asks and
+    answers stands once. Larger ones are cut by a hash of the id into n tiles;
+    a row asks in n cells as the left and answers in n as the right. Only large
+    buckets' counts come back as a join side.
     """
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
-    sizes = sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(sizes, "bucket", "left") if not sizes.isEmpty() else rows.withColumn("tiles", F.lit(None).cast("int"))
-    n = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64("id"), n).cast("int")
-    all_tiles = F.sequence(F.lit(0), n - 1)
-    left = rows.filter("asks").select("bucket", own.alias("tile_a"), F.explode(all_tiles).alias("tile_b"), F.lit(0).alias("side"), "asks", "id", "code")
-    right = rows.filter("not probing").select("bucket", F.explode(all_tiles).alias("tile_a"), own.alias("tile_b"), F.lit(1).alias("side"), "asks", "id", "code")
-    return left.unionByName(right)
+    large = stored(sizes.filter(F.col("n") > TILE).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "large_buckets")
+    whole = F.when(F.col("probing"), LEFT).when(F.col("asks"), BOTH).otherwise(RIGHT)
+    if large.isEmpty():
+        at = rows.select("bucket", F.lit(0).alias("tile_a"), F.lit(0).alias("tile_b"), whole.alias("side"), "id", "code")
+        return at.repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.join(large, "bucket", "left")
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    each = F.sequence(F.lit(0), F.col("tiles") - 1)
+    cell = lambda a, b, side: F.struct(a.alias("tile_a"), b.alias("tile_b"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    none = F.filter(F.array(cell(F.lit(0), F.lit(0), LEFT)), lambda _: F.lit(False))
+    asking = F.when(F.col("asks"), F.transform(each, lambda t: cell(own, t, LEFT))).otherwise(none)
+    answering = F.when(F.col("probing"), none).otherwise(F.transform(each, lambda t: cell(t, own, RIGHT)))
+    cells = F.when(F.col("tiles").isNull(), F.array(cell(F.lit(0), F.lit(0), whole))).otherwise(F.concat(asking, answering))
+    at = rows.select("bucket", F.explode(cells).alias("c"), "id", "code").select("bucket", "c.*", "id", "code")
+    return at.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+
+
+def candidates(vectors: DataFrame, tables: int, hashes: int, probes: int, floor: float | None, k: int) -> DataFrame:
+    """(q, b, high, low), distinct pairs of (class_id, v, asks) that the tables bring together, with bounds of their cosine.
+
+    Nothing but the pairs is kept of the buckets; their sizes are counted on the own keys alone.
+    """
+    sizes = vectors.select("v").mapInPandas(_own_buckets(tables, hashes), "bucket bigint").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    rows = _in_tiles(vectors.select("class_id", "v", "asks").mapInPandas(_hashed(tables, hashes, probes), HASHED), sizes)
+    return rows.mapInPandas(_close_pairs(floor, k), PAIRS).groupBy("q", "b").agg(F.max("high").alias("high"), F.min("low").alias("low"))
 
 
 def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 10, floor: float | None = None, tables: int | None = None, probes: int | None = None, hashes: int | None = None, asking: str = "true") -> DataFrame:
@@ -193,40 +246,40 @@ def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 1
 
     similarity is the cosine rounded to 6 decimals; with floor only neighbours
     of at least that similarity come out. hashes: per key; by default from the
-    number of rows. More tables and probes cost time and miss less; with a floor
-    they follow by default from the hashes, so that recall holds at every size.
+    number of rows. More tables and probes cost time and miss less; by default
+    they follow from the hashes, so that recall holds at every size.
+
+    Of the vectors themselves only what must meet moves: rows and classes are
+    told apart by two hashes of the vector, 96 bits together.
     """
-    rows = entries.filter(usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(asking).alias("ask")).filter("id is not null").dropDuplicates(["id"])
-    rows = stored(rows, "vectors")
-    asked = rows.groupBy("v").agg(F.max("ask").alias("asks"))
-    classes = stored(classes_of(rows, "id", "v", k + 1).join(asked, "v").select("class_id", "first_ids", "v", "asks"), "classes")
+    rows = entries.filter(usable(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(asking).alias("ask")).filter("id is not null")
+    rows = stored(rows.withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"))), "vectors")
+    ids = rows.groupBy("id").agg(F.min("h").alias("h"), F.max("ask").alias("ask"))
+    first = ids.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("_r") <= k + 1)
+    first = first.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("first_ids")).join(ids.groupBy("h").agg(F.max("ask").alias("asks")), "h")
+    classes = stored(first.select(F.col("first_ids")[0].alias("class_id"), "first_ids", "asks", "h"), "classes")
+    vectors = rows.join(classes.select(F.col("class_id").alias("id"), "h", "asks"), ["id", "h"]).groupBy("id", "asks").agg(F.first("v").alias("v"))
+    vectors = stored(vectors.select(F.col("id").alias("class_id"), "v", "asks"), "class_vectors")
     hashes = hashes or hashes_for(classes.count())
-    by_default = (6, 4) if floor is None or tables and probes else search_for(hashes, floor, asking == "true")
-    tables, probes = tables or by_default[0], probes or by_default[1]
-
-    schema = "bucket bigint, probing boolean, asks boolean, id bigint, code binary"
-    steps = SHORT if floor is None else BYTE
-    hashed = stored(classes.select("class_id", "v", "asks").mapInPandas(_hashed(tables, hashes, probes, steps), schema), "hashed")
-    cells = _tiles(hashed).repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-    near = cells.mapInPandas(_close_pairs(floor, k, steps), "q bigint, b bigint, near float")
-    near = near.groupBy("q", "b").agg(F.max("near").alias("near"))
-    if floor is None:  # the rounding margin decides which can still be among the k best
-        w = Window.partitionBy("q").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        kth = F.coalesce(F.nth_value("near", k).over(w), F.lit(-2.0))
-        near = near.withColumn("_kth", kth).filter(F.col("near") >= F.col("_kth") - 2 * margin(steps)).drop("_kth")
-
-    vectors = classes.select("class_id", "v", "first_ids")
-    exact = near.join(vectors.select(F.col("class_id").alias("q"), F.col("v").alias("va")), "q").join(vectors.select(F.col("class_id").alias("b"), F.col("v").alias("vb"), F.col("first_ids").alias("ids")), "b")
-    exact = exact.mapInPandas(_cosines, "q bigint, similarity double, ids array<bigint>")
+    by_default = search_for(hashes, floor, asking == "true")
+    near = candidates(vectors, tables or by_default[0], hashes, probes or by_default[1], floor, k)
+    if floor is None:  # those that may be among the k best
+        w = Window.partitionBy("q").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        near = near.withColumn("_kth", F.coalesce(F.nth_value("low", k).over(w), F.lit(-3.0))).filter(F.col("high") >= F.col("_kth"))
+
+    side = lambda id, v: vectors.select(F.col("class_id").alias(id), F.col("v").alias(v))
+    exact = near.select("q", "b").join(side("q", "va"), "q").join(side("b", "vb"), "b").mapInPandas(_cosines, "q bigint, b bigint, similarity double")
     if floor is not None:
         exact = exact.filter(F.col("similarity") >= floor)
+        exact = exact.select(F.explode(F.array(F.struct("q", "b", "similarity"), F.struct(F.col("b").alias("q"), F.col("q").alias("b"), "similarity"))).alias("p")).select("p.*")
+    exact = exact.join(classes.select(F.col("class_id").alias("b"), F.col("first_ids").alias("ids")), "b").select("q", "similarity", "ids")
     own = classes.filter("asks").select(F.col("class_id").alias("q"), F.lit(1.0).alias("similarity"), F.col("first_ids").alias("ids"))
     offers = exact.unionByName(own).select("q", "similarity", F.explode("ids").alias("neighbour"))
     best = offers.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "neighbour"))).filter(F.col("_r") <= k + 1)
     lists = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("_r", "neighbour", "similarity"))).alias("best"))
 
     # a class of many copies: its rows meet one row of at most k + 1 neighbours
-    of = rows.filter("ask").join(classes.select("v", F.col("class_id").alias("q")), "v").select("id", "q").join(lists, "q")
+    of = ids.filter("ask").join(classes.select("h", F.col("class_id").alias("q")), "h").select("id", "q").join(lists, "q")
     others = F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, k)
     return of.select("id", F.posexplode(others).alias("place", "n")).select("id", "n.neighbour", "n.similarity", F.col("place") + 1).toDF("id", "neighbour", "similarity", "place")
 
@@ -235,4 +288,4 @@ def _cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             s = np.einsum("ij,ij->i", unit(matrix(batch["va"])), unit(matrix(batch["vb"])))
-            yield pd.DataFrame({"q": batch["q"], "similarity": np.round(np.clip(s, -1, 1), 6), "ids": batch["ids"]})
+            yield pd.DataFrame({"q": batch["q"], "b": batch["b"], "similarity": np.round(np.clip(s, -1, 1), 6)})

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.neighbours import _close_pairs, _hashed, _tiles, hashes_for, search_for
+from kelpline.llm.neighbours import HASHED, PAIRS, _close_pairs, _hashed, _in_tiles, hashes_for, search_for
 from kelpline.llm.vectors import matrix, pseudo_rotation, unit, usable
 from kelpline.plans.ranks import with_global_rank
 from kelpline.session import stored
@@ -109,12 +109,13 @@ def alike_edges(nodes: DataFrame, alike: float) -> DataFrame:
                 yield batch.loc[np.round(s, 6) >= alike, ["better", "worse"]]
 
     asked = nodes.select(F.col("node").alias("class_id"), "v", F.lit(True).alias("asks"), F.xxhash64("grp").alias("salt"))
-    rows = stored(asked.mapInPandas(by_group, "bucket bigint, probing boolean, asks boolean, id bigint, code binary"), "alike_hashed")
-    cells = _tiles(rows).repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-    near = cells.mapInPandas(_close_pairs(alike, 1), "q bigint, b bigint, near float").select("q", "b").distinct()
+    rows = stored(asked.mapInPandas(by_group, HASHED), "alike_hashed")
+    sizes = rows.filter("not probing").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    near = _in_tiles(rows, sizes).mapInPandas(_close_pairs(alike, 1), PAIRS).select("q", "b").distinct()
     side = lambda id, x: nodes.select(F.col("node").alias(id), F.col("grp").alias(f"grp_{x}"), F.col("first").alias(f"first_{x}"), F.col("v").alias(f"v{x}"))
-    both = near.join(side("q", "a"), "q").join(side("b", "b"), "b").filter("grp_a = grp_b and first_a < first_b")
-    return both.select(F.col("q").alias("better"), F.col("b").alias("worse"), "va", "vb").mapInPandas(exact, "better bigint, worse bigint")
+    both = near.join(side("q", "a"), "q").join(side("b", "b"), "b").filter("grp_a = grp_b")
+    order = lambda x, y: F.when(F.col("first_a") < F.col("first_b"), F.col(x)).otherwise(F.col(y))
+    return both.select(order("q", "b").alias("better"), order("b", "q").alias("worse"), "va", "vb").mapInPandas(exact, "better bigint, worse bigint")
 
 
 def without_alike(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -187,12 +187,7 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
     names = [c for c in lists.columns if c != members_col]
     schema = lists.select(*names, F.array(F.lit("")).alias("chosen")).schema
 
-    def one(size: int, members: list) -> list[str]:
-        if not len(members):
-            return []
-        members = sorted(members, key=lambda m: m["place"])
-        v = unit(np.stack([m["v"] for m in members]))
-        keys = np.stack([curve_keys(v, axes, bits, SEED + c) for c in range(curves)], axis=1)
+    def one(size: int, members: list, v: np.ndarray, keys: np.ndarray) -> list[str]:
         cells = sorted(curve_cells(v, keys, alike), key=lambda i: (keys[i, 0], i))
         n, size = len(cells), max(0, size)
         if n > size:
@@ -201,8 +196,14 @@ def varied_of_lists(lists: DataFrame, size_col: str, members_col: str, alike: fl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield batch[names].assign(chosen=[one(0 if pd.isna(s) else int(s), list(m)) for s, m in zip(batch[size_col], batch[members_col])])
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                listed = [sorted(m, key=lambda m: m["place"]) for m in part[members_col]]
+                ends = np.cumsum([0, *map(len, listed)])
+                v = unit(np.stack([m["v"] for ms in listed for m in ms])) if ends[-1] else np.zeros((0, 1))
+                keys = np.stack([curve_keys(v, axes, bits, SEED + c) for c in range(curves)], axis=1) if ends[-1] else np.zeros((0, curves))
+                chosen = [one(0 if pd.isna(s) else int(s), ms, v[i:j], keys[i:j]) for s, ms, i, j in zip(part[size_col], listed, ends, ends[1:])]
+                yield part[names].assign(chosen=chosen)
 
     return lists.mapInPandas(run, schema)
 

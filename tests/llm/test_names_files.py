@@ -83,6 +83,7 @@ def test_files_not_by_hand(spark):
         c = f"c{i % 8}"
         add(c, f"src/mod{i}/load{i}.py", code(i), False)
         add(c, f"src/mod{i}/gen{i}.ts", f"// Code generated by fieldgen. DO NOT EDIT.\n{made(i)}" if i % 29 else made(i), True, "typescript")
+        add(c, f"src/{'abcdefgh'[i % 8]}/{'abcdefgh'[i // 8]}.py", code(100 + i), False)  # names of all kinds
     add("c0", "src/own.py", "# Copyright the own authors. Licensed under the MIT licence; see LICENSE.\n" + code(901), False)
     add("c0", "src/banner.py", 'BANNER = "Code generated by x. DO NOT EDIT."\n' + code(902), False)
     add("c0", "src/vendors/a.py", code(903), False)
@@ -107,6 +108,7 @@ def test_margins_agree_with_features():
 
     w = np.random.default_rng(0).normal(size=H.WIDTH + 1)
     body, path = ["abc 123\n" * 5, "", "é", code(1)], ["a/b.py", "x", "", "d/e/f.ts"]
-    one = [w[c] @ v + w[-1] for c, v in H.features(body, path)]
-    assert np.allclose(H.margins(body, path, w), one)
-    assert np.allclose(H.margins(body[::-1], path[::-1], w)[::-1], one)
+    header = ["", "# Generated by x\n", "// é 1", ""]
+    one = [w[c] @ v + w[-1] for c, v in H.features(body, header, path)]
+    assert np.allclose(H.margins(body, header, path, w), one)
+    assert np.allclose(H.margins(body[::-1], header[::-1], path[::-1], w)[::-1], one)

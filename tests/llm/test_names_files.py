@@ -84,13 +84,18 @@ def test_files_not_by_hand(spark):
         add(c, f"src/mod{i}/load{i}.py", code(i), False)
         add(c, f"src/mod{i}/gen{i}.ts", f"// Code generated by fieldgen. DO NOT EDIT.\n{made(i)}" if i % 29 else made(i), True, "typescript")
         add(c, f"src/{'abcdefgh'[i % 8]}/{'abcdefgh'[i // 8]}.py", code(100 + i), False)  # names of all kinds
+    for i in range(24):  # a mark is learned from several repositories
+        add(f"c{i % 8}", f"{('lib/vendor', 'node_modules', 'third_party')[i % 3]}/t{i}.{('py', 'js', 'go')[i % 3]}", code(920 + i), True)
+        add(f"c{i % 8}", f"src/up{i}.py", f"# Part of upthing 1.2.{i}. Licensed under the Apache License, Version 2.0\n" + code(950 + i), True)
+        add(f"c{i % 8}", f"src/hand{i}.py", "# Dieser Quelltext wurde von abcgen erzeugt und wird bei jedem Lauf überschrieben.\n" + code(980 + i), True)
     add("c0", "src/own.py", "# Copyright the own authors. Licensed under the MIT licence; see LICENSE.\n" + code(901), False)
     add("c0", "src/banner.py", 'BANNER = "Code generated by x. DO NOT EDIT."\n' + code(902), False)
     add("c0", "src/vendors/a.py", code(903), False)
     add("c0", "lib/vendor/a.py", code(904), True)
     add("c1", "src/up.py", "# Part of upthing 1.2.3. Licensed under the Apache License, Version 2.0\n" + code(905), True)
-    add("c2", "src/lib/copy.py", code(906), True)
-    add("c3", "src/other/copy2.py", code(906), True)
+    copied = code(906).replace("seen", "visited").replace("row", "upstream_item")
+    add("c2", "src/lib/copy.py", copied, True)
+    add("c3", "src/other/copy2.py", copied, True)
     add("c1", "src/hand.py", "# Dieser Quelltext wurde von abcgen erzeugt und wird bei jedem Lauf überschrieben.\n" + code(907), True)
     add("c1", "docs/vendor/page.md", "# Code generated by nobody\n\nProse about vendor folders.", False, "markdown")
     add("c1", "src/null.py", None, False)

@@ -9,10 +9,12 @@ from kelpline.operators import references as R
 from kelpline.tables import table
 
 
+def _ledger(spark: SparkSession, sf_dir: str, ends: bool = False) -> DataFrame:
+    return R.maintained(R.entity_deltas(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_deletions"), table(spark, sf_dir, "source_records"), ends))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = table(spark, sf_dir, "entities")
-    deltas = R.entity_existence(entities, table(spark, sf_dir, "entity_deletions"), table(spark, sf_dir, "source_records"))
-    found = R.orphans(R.entity_references(entities), R.existence_state(deltas))
+    found = R.ledger_orphans(_ledger(spark, sf_dir))
     return found.select(F.col("field").alias("ref_field"), "row_id", "ref_id", F.date_format("at", "yyyy-MM").alias("ref_month"))
 
 
@@ -23,19 +25,14 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that do not exist now, with the references of all rows ever delivered, as its SQL counts; p5_live counts those that stand now."""
-    entities = table(spark, sf_dir, "entities")
-    refs = R.entity_references(entities).groupBy("field", "ref_id").agg(F.count(F.lit(1)).alias("refs")).withColumn("existence", F.lit(0).cast("bigint"))
-    alive = R.entity_existence(entities, table(spark, sf_dir, "entity_deletions"), table(spark, sf_dir, "source_records"))
-    alive = alive.groupBy("field", "ref_id").agg(F.sum("existence").alias("existence")).withColumn("refs", F.lit(0).cast("bigint"))
-    return R.current_orphans(R.apply_deltas(refs, alive)).select(F.col("field").alias("ref_field"), "ref_id", "refs")
+    counts = R.ledger_counts(_ledger(spark, sf_dir), ends=False)
+    return R.current_orphans(counts).select(F.col("field").alias("ref_field"), "ref_id", "refs")
 
 
 def p5_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are referenced now, by the last row of an entity that is not deleted, and do not exist now."""
-    entities, deletions = table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_deletions")
-    refs = R.reference_deltas(entities, deletions).withColumn("existence", F.lit(0).cast("bigint"))
-    alive = R.entity_existence(entities, deletions, table(spark, sf_dir, "source_records")).withColumn("refs", F.lit(0).cast("bigint"))
-    return R.current_orphans(R.apply_deltas(refs, alive)).select(F.col("field").alias("ref_field"), "ref_id", "refs")
+    counts = R.ledger_counts(_ledger(spark, sf_dir, ends=True))
+    return R.current_orphans(counts).select(F.col("field").alias("ref_field"), "ref_id", "refs")
 
 
 _BASE = r"""

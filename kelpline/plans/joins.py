@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
+from kelpline.session import stored
+
+BROADCAST_ROWS, BROADCAST_CHARS = 20_000, 32 << 20
 HOT_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows. Reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether df has at most `rows` rows that hold at most `chars` characters. Reads no more than rows + 1 of them."""
+    size = F.sum(F.length(F.to_json(F.struct("*"))))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("chars")).first()
+    return got["n"] <= rows and got["chars"] <= chars
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count; a larger side keeps the shuffle join."""
-    return F.broadcast(df) if small(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """A broadcast hint behind a measured size; a larger side keeps the shuffle join. df is read twice, so pass a stored table."""
+    return F.broadcast(df) if small(df, rows, chars) else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, hot_rows: int = HOT_ROWS, buckets: int = 64) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """left join right on keys where one key may hold a large part of left.
 
-    Keys with more than hot_rows rows in left (counted with map-side combine,
-    so there are at most |left| / hot_rows of them) are split into `buckets`
-    parts by `spread`; only their few rows of right are repeated. right should
-    hold few rows per key. how: inner, left, left_semi or left_anti.
+    A key with more than hot_rows rows in left (counted with map-side combine)
+    is split by `spread` into as many parts as its rows fill; only its few rows
+    of right are repeated. right should hold few rows per key. The list of such
+    keys is broadcast only if it is counted to be small. how: inner, left,
+    left_semi or left_anti. left is read twice, so pass a stored table.
     """
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = stored(counts.select(*keys, F.ceil(F.col("_n") / max(1, hot_rows)).cast("int").alias("_parts")), "hot_keys")
     if hot.isEmpty():
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)  # at most |left| / hot_rows keys
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int")).otherwise(0)
-    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    hot = broadcast_if_small(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -27,13 +27,36 @@ def test_references_are_cleaned(spark):
     assert R.entity_references(rows.limit(0)).count() == 0
 
 
+ENTRIES = "field string, ref_id string, row_id bigint, sign bigint, at timestamp"
+
+
 def test_ledger_of_deltas(spark):
-    schema = "field string, ref_id string, refs bigint, existence bigint"
-    ledger = spark.createDataFrame([], schema)
-    for batch in ([("w", "a", 2, 0), ("w", "b", 1, 1)], [("w", "a", 0, 1), ("w", "b", 0, -1)], [("w", "a", -2, -1)]):
-        ledger = R.apply_deltas(ledger, spark.createDataFrame(batch, schema))
-    assert [(r.ref_id, r.refs, r.existence) for r in ledger.collect()] == [("b", 1, 0)]
-    assert [r.ref_id for r in R.current_orphans(ledger).collect()] == ["b"]
+    created, deleted, ref = (lambda k, d: ("w", k, None, 1, at(d))), (lambda k, d: ("w", k, None, -1, at(d))), (lambda k, row, d, sign=1: ("w", k, row, sign, at(d)))
+    batches = [
+        [ref("a", 1, 5), ref("b", 2, 5), ref("c", 3, 5), ref("d", 4, 5), ref("d", 5, 9), ("w", None, 6, 1, at(1))],
+        [created("a", 7), created("a", 7), created("b", 1), created("d", 6)],  # a is created late, and twice
+        [deleted("b", 4), deleted("c", 2)],  # c is deleted before it is created
+        [created("b", 1), ref("a", 1, 5), created("a", 3), created("c", 3)],  # delivered again; a turns out to be earlier
+        [ref("d", 5, 10, -1)],
+    ]
+    for order in (batches, batches[::-1]):
+        ledger = None
+        for batch in order:
+            ledger = R.apply_deltas(ledger, spark.createDataFrame(batch, ENTRIES))
+        counts = {r.ref_id: (r.refs, r.existence) for r in R.ledger_counts(ledger).collect()}
+        assert counts == {"a": (1, 1), "b": (1, 0), "c": (1, 0), "d": (1, 1)}
+        assert sorted(r.ref_id for r in R.current_orphans(R.ledger_counts(ledger)).collect()) == ["b", "c"]
+        assert {r.ref_id: r.refs for r in R.ledger_counts(ledger, ends=False).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2}
+        for hot in (100, 0):
+            assert sorted(r.row_id for r in R.ledger_orphans(ledger, hot).collect()) == [2, 3, 4]
+
+
+def test_maintained_ledger_takes_late_batches(spark):
+    rows = [("w", "a", 1, 1, at(5), at(6)), ("w", "a", None, 1, at(1), at(28)), ("w", "b", 2, 1, at(5), None), ("w", "a", 1, 1, at(5), at(28))]
+    deltas = spark.createDataFrame(rows, ENTRIES + ", arrived timestamp")
+    for days in (3, 60):
+        assert [r.ref_id for r in R.ledger_orphans(R.maintained(deltas, days)).collect()] == ["b"]
+    assert R.ledger_orphans(R.maintained(deltas.limit(0))).count() == 0
 
 
 def test_references_end(spark):
@@ -48,7 +71,7 @@ def test_salted_join_keeps_all_rows(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (3, 51)], "k int, i int")
     right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        got = sorted(map(tuple, salted_join(left, right, ["k"], how, left["i"], hot_rows=10, buckets=4).select("k", "i").collect()))
+        got = sorted(map(tuple, salted_join(left, right, ["k"], how, left["i"], hot_rows=10).select("k", "i").collect()))
         assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "i").collect()))
 
 

@@ -82,7 +82,7 @@ def test_longest_match_by_brute_force():
             for j in range(i + 15, 41):
                 if same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9 and (weight * same)[i:j].sum() >= 0.45 * weight[i:j].sum() - 1e-9:
                     want = max(want, j - i)
-        assert L.longest_match(same, weight, 15, 0.8, 0.45) == want
+        assert L.longest_match(np.flatnonzero(same), len(same), weight, 15, 0.8, 0.45) == want
 
 
 def test_labels_in_other_notations(spark):
@@ -101,7 +101,7 @@ def test_running_text_only():
 def test_languages_of_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     seen, held = docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0")
-    found = G.document_languages(G.segments(held, G.fit(seen)))
+    found = G.document_languages(G.segments(G.cut(held), G.fit(seen, G.cut(seen))))
     one = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("lang").alias("lang")).filter("n = 1")
     label = held.select("doc_id", G.language_of_label(F.col("lang")).alias("label")).filter("label is not null")
     both = one.join(label, "doc_id").collect()

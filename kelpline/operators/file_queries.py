@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
 from kelpline.operators import files as X
+from kelpline.operators.ranking_queries import KEYWORD
 from kelpline.tables import table
 
 QUERY = "vessel signal ranking schema"
@@ -23,7 +24,7 @@ def keyword_find(spark, sf_dir):
 def topic_filter(spark, sf_dir):
     """Keyword hits that also hold a quarter of the topic terms, or score half, re-ranked."""
     found = X.keyword_scored(_latest(spark, sf_dir), QUERY).filter("relevance > 0")
-    terms = [t for t in X.query_tokens(QUERY) if len(t) >= 3]
+    terms = X.topic_terms(QUERY)
     topic = sum(F.when(F.contains(F.concat_ws(" ", "heads", "path_lower"), F.lit(t)), 1).otherwise(0) for t in terms) / float(len(terms))
     kept = found.withColumn("topic", F.round(topic, 6)).filter("topic >= 0.25 or relevance >= 0.5 or (knowledge_type = 'ground_truth' and relevance >= 0.35)")
     return kept.withColumn("combined", F.round(0.6 * F.col("relevance") + 0.4 * F.col("topic"), 6)).select("corpus_id", "path", "relevance", "topic", "combined").orderBy(F.desc("combined"), "corpus_id", "path").limit(50)
@@ -35,8 +36,8 @@ def file_tokens(spark, sf_dir):
 
 def file_classes(spark, sf_dir):
     heads = F.lower(F.coalesce(F.array_join(F.col("headings.title"), " "), F.lit("")))
-    rows = _latest(spark, sf_dir).select("corpus_id", F.lower("path").alias("p"), heads.alias("h"))
-    return rows.select("corpus_id", F.expr(X.class_sql("p", "h", "{0} rlike r'{1}'")).alias("class")).groupBy("corpus_id", "class").agg(F.count(F.lit(1)).alias("files"))
+    rows = X.latest(table(spark, sf_dir, "source_files").select("corpus_id", "path", "headings", "indexed_at", "hash", "tokens")).select("corpus_id", "path", heads.alias("h"))
+    return rows.select("corpus_id", X.file_class(F.col("path"), F.col("h")).alias("class")).groupBy("corpus_id", "class").agg(F.count(F.lit(1)).alias("files"))
 
 
 def file_summary(spark, sf_dir):
@@ -106,22 +107,23 @@ QUERIES = {f.__name__: f for f in [keyword_find, topic_filter, file_tokens, file
 
 _LAST = """with last as (select * exclude (_r) from (select *, row_number() over (partition by corpus_id, path order by indexed_at desc, hash desc nulls last, tokens desc) as _r from source_files) where _r = 1)
 """
-_STEMS = lambda c: f"list_transform(list_filter({c}, lambda x: length(x) >= 3), lambda x: {T.stem_sql('x')})"
-_KEYS = _LAST + f""", a as (select *, lower(path) as path_lower, list_filter(regexp_split_to_array(lower(path), '[-/_.]'), lambda x: length(x) >= 2) as path_parts,
- lower(coalesce(array_to_string(list_transform(headings, lambda h: h.title), ' '), '')) as heads, regexp_extract(path, '([^/]*?)([.][^./]*)?$', 1) as file_lower, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) as dir_lower from last),
-b as (select *, list_filter(regexp_split_to_array(lower(regexp_replace(file_lower, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\s_-]+'), lambda x: length(x) >= 2) as file_parts, {_STEMS('path_parts')} as path_stems, array_to_string({_STEMS("regexp_split_to_array(heads, '\\s+')")}, ' ') as head_stems from a),
-k as (select *, {_STEMS('file_parts')} as file_stems from b), s as (select *, {X.score_sql(X.query_tokens(QUERY))} as relevance from k)
-"""
-_TERMS = [t for t in X.query_tokens(QUERY) if len(t) >= 3]
-_TOPIC = "round((" + " + ".join(f"(case when contains(heads || ' ' || path_lower, '{t}') then 1 else 0 end)" for t in _TERMS) + f")::double / {len(_TERMS)}, 6)"
-
 SQL = {
-    "keyword_find": _KEYS + "select corpus_id, path, tokens, knowledge_type, relevance from s where relevance > 0 order by relevance desc, corpus_id, path limit 20",
-    "topic_filter": _KEYS + f"select corpus_id, path, relevance, topic, round(0.6::double * relevance + 0.4::double * topic, 6) as combined from (select *, {_TOPIC} as topic from s where relevance > 0) where topic >= 0.25 or relevance >= 0.5 or (knowledge_type = 'ground_truth' and relevance >= 0.35) order by combined desc, corpus_id, path limit 50",
+    "keyword_find": f"with {KEYWORD} select corpus_id, path, tokens, knowledge_type, relevance from k join (select corpus_id, path, knowledge_type from last) using (corpus_id, path) order by relevance desc, corpus_id, path limit 20",
+    "topic_filter": f"""with {KEYWORD}, z as (select k.corpus_id, k.path, relevance, knowledge_type, round((contains(h, 'vessel')::int + contains(h, 'signal')::int + contains(h, 'ranking')::int + contains(h, 'schema')::int) / 4.0::double, 6) as topic from k join (select corpus_id, path, knowledge_type, concat_ws(' ', lower(coalesce(array_to_string(list_transform(headings, lambda x: x.title), ' '), '')), lower(path)) as h from last) using (corpus_id, path))
+select corpus_id, path, relevance, topic, round(0.6::double * relevance + 0.4::double * topic, 6) as combined from z where topic >= 0.25 or relevance >= 0.5 or (knowledge_type = 'ground_truth' and relevance >= 0.35) order by combined desc, corpus_id, path limit 50""",
     "file_tokens": _LAST + """select corpus_id, path, case when coalesce(length(content), 0) = 0 then 0 else greatest(floor((length(content) - f) / 4.0::double + f / 2.5::double)::bigint, 1) end as estimated, left(md5(content), 12) as md5_12
 from (select *, coalesce(list_sum(list_transform(regexp_extract_all(content, '```[\\s\\S]*?```'), lambda x: length(x))), 0)::double as f from last)""",
-    "file_classes": _LAST + f""", r as (select corpus_id, lower(path) as p, lower(coalesce(array_to_string(list_transform(headings, lambda h: h.title), ' '), '')) as h from last)
-select corpus_id, class, count(*) as files from (select corpus_id, {X.class_sql('p', 'h', "regexp_matches({0}, '{1}')")} as class from r) group by 1, 2""",
+    "file_classes": _LAST + r""", c(ord, class, paths, titles) as (values
+(0, 'ground_truth', ['\.ts$', '\.tsx$', '\.js$', '\.jsx$', '\.py$', '\.rs$', '\.go$', '\.vue$', '\.svelte$', 'schema', 'types\.', 'interface', '\.proto$', 'config\.(ts|js|json|yaml|yml)$', '\.env', 'package\.json$', 'tsconfig', 'Dockerfile', 'PRD', 'SPEC', 'API[-_]', 'SCHEMA'], ['api\s*(reference|doc)', 'specification', 'schema', 'type\s*definition', 'interface', 'endpoint']),
+(1, 'framework', ['GUIDE', 'GUIDELINE', 'CONVENTION', 'ARCHITECTURE', 'DESIGN[-_]', 'PATTERN', 'PLAYBOOK', 'PROCESS', 'METHODOLOGY', 'PRINCIPLES', 'RULES', '\.md$.*rules', 'CONTRIBUTING'], ['guideline', 'convention', 'architecture', 'design\s*system', 'pattern', 'principle', 'methodology', 'workflow', 'best\s*practice', 'how\s*to', 'playbook']),
+(2, 'evidence', ['AUDIT', 'BENCHMARK', 'RESEARCH', 'ANALYSIS', 'REPORT', 'STUDY', 'EVAL', 'METRIC', 'research', 'raw/', 'scrape', 'screenshot', 'battlecard', 'FEATURES\.md'], ['benchmark', 'result', 'finding', 'metric', 'comparison', 'competitive', 'analysis', 'scraped', 'source', 'evidence']),
+(3, 'signal', ['FEEDBACK', 'REVIEW', 'RETRO', 'INTERVIEW', 'MEETING', 'NOTES', 'STANDUP', 'DISCUSSION', 'slack', 'message', 'transcript'], ['feedback', 'review', 'retrospective', 'interview', 'meeting\s*note', 'decision', 'action\s*item']),
+(4, 'hypothesis', ['PLAN', 'PROPOSAL', 'RFC', 'ROADMAP', 'VISION', 'IDEA', 'DRAFT', 'TODO', 'SPRINT', 'BACKLOG', 'REMAINING'], ['proposal', 'rfc', 'roadmap', 'plan', 'next\s*step', 'future', 'goal', 'objective', 'sprint', 'milestone']),
+(5, 'artifact', ['CHANGELOG', 'RELEASE', 'GENERATED', 'dist/', 'build/', 'output/', 'README', 'LICENSE', 'CONTRIBUTING', 'test[-_]result', '\.(csv|json)$'], ['changelog', 'release\s*note', 'version', 'generated', 'output', 'export'])),
+r as (select corpus_id, path, lower(coalesce(array_to_string(list_transform(headings, lambda h: h.title), ' '), '')) as h from last),
+n as (select corpus_id, path, class, ord, 2 * len(list_filter(paths, lambda p: regexp_matches(path, p, 'i'))) + len(list_filter(titles, lambda p: regexp_matches(h, p, 'i'))) as n from r cross join c),
+b as (select corpus_id, path, arg_max(class, n * 10 - ord) as class, max(n) as n from n group by 1, 2)
+select corpus_id, case when n > 0 then class when regexp_matches(path, '[.]mdx?$', 'i') then 'evidence' else 'artifact' end as class, count(*) as files from b group by 1, 2""",
     "file_summary": _LAST + "select corpus_id, lang, count(*) as files, sum(tokens)::bigint as tokens, sum(size)::bigint as bytes, count(distinct hash) as contents from last group by 1, 2",
     "file_headings": _LAST + r""", l as (select corpus_id, path, regexp_split_to_array(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n') as ls from last where lang = 'markdown' and content is not null),
 e as (select corpus_id, path, unnest(range(len(ls))) as i, unnest(ls) as t from l)

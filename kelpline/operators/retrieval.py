@@ -1,11 +1,8 @@
-"""Operators over vectors and retrieval runs: centroids, nearest entries, quantisation, fusion, packing, metrics."""
+"""Operators over vectors and retrieval runs: centroids, nearest entries, quantisation, fusion, metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,47 +70,6 @@ def fused(runs: DataFrame, k: int = 60, top: int = 10) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
 
-def packed(candidates: DataFrame) -> DataFrame:
-    """(run_id, path, depth, cost): each run's files within its budget, full (0) or as a pointer (4).
-
-    candidates: (run_id, budget, items array<struct<relevance, tokens, path>>);
-    one run's list is one row. Best first, full from a relevance of .4; then
-    from the tail full ones become pointers and pointers are dropped until the
-    rest fits; then from the head pointers become full while there is room.
-    """
-
-    def cost(tokens: int, depth: int) -> int:
-        return max(5, int(tokens * (1.0 if depth == 0 else 0.03)))
-
-    def pack(budget: int, items: list) -> list[tuple[str, int, int]]:
-        files = sorted(((-i["relevance"], i["tokens"], i["path"]) for i in items))
-        depth = [0 if -r >= 0.4 else 4 for r, _, _ in files]
-        costs = [cost(t, d) for (_, t, _), d in zip(files, depth)]
-        total = sum(costs)
-        for i in reversed(range(len(files))):
-            if total > budget and depth[i] == 0:
-                total -= costs[i]
-                depth[i], costs[i] = 4, cost(files[i][1], 4)
-                total += costs[i]
-        while costs and total > budget:
-            total -= costs.pop()
-        if total < budget * 0.92:
-            for i in range(len(costs)):
-                if total >= budget * 0.95:
-                    break
-                more = cost(files[i][1], 0) - costs[i]
-                if depth[i] == 4 and total + more <= budget:
-                    depth[i], costs[i], total = 0, costs[i] + more, total + more
-        return [(files[i][2], depth[i], c) for i, c in enumerate(costs)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(r, *x) for r, b, items in zip(batch["run_id"], batch["budget"], batch["items"]) for x in pack(int(b), list(items))]
-            yield pd.DataFrame(rows, columns=["run_id", "path", "depth", "cost"])
-
-    return candidates.select("run_id", "budget", "items").mapInPandas(run, "run_id bigint, path string, depth int, cost bigint")
-
-
 def bootstrap(values: DataFrame, by: str, value: str, rounds: int = 200, seed: int = 49374) -> DataFrame:
     """(by, mean, low, high): 95 % interval of the mean by Poisson resampling.
 

@@ -106,24 +106,13 @@ def run_by_month(spark, sf_dir):
     return rows.rollup("month", "corpus_id").agg(F.count(F.lit(1)).alias("runs"), F.count("error").alias("failed"), F.round(F.percentile("took_s", 0.5), 6).alias("median_s"))
 
 
-def run_packed(spark, sf_dir):
-    """Each run's files packed into its budget; relevance falls with the place."""
-    from kelpline.operators.files import latest
-
-    files = latest(table(spark, sf_dir, "source_files")).select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens"))
-    listed = _runs(spark, sf_dir).filter("budget is not null").select("run_id", "corpus_id", F.col("budget").cast("bigint").alias("budget"), F.posexplode("retrieved").alias("p", "path")).filter("path is not null")
-    listed = listed.groupBy("run_id", "corpus_id", "budget", "path").agg(F.min("p").alias("p")).join(files, ["corpus_id", "path"])
-    item = F.struct((1.0 / (1 + F.col("p") / 4.0)).alias("relevance"), "tokens", "path")
-    return R.packed(listed.groupBy("run_id", "budget").agg(F.collect_list(item).alias("items")))
-
-
 def run_interval(spark, sf_dir):
     """Mean recall of each configuration with a bootstrap interval."""
     m = R.metrics(_runs(spark, sf_dir).filter("error is null")).filter("n_truth > 0").select("config", F.col("run_id").alias("id"), "recall")
     return R.bootstrap(m, "config", "recall").select("config", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-QUERIES = {f.__name__: f for f in [vec_coverage, vec_centroids, vec_nearest_to_centroid, vec_int8_error, vec_signs, vec_changed, vec_late, run_metrics, run_summary, run_stored_metrics, run_fused, run_overlap, run_missing_files, run_by_month, run_packed, run_interval]}
+QUERIES = {f.__name__: f for f in [vec_coverage, vec_centroids, vec_nearest_to_centroid, vec_int8_error, vec_signs, vec_changed, vec_late, run_metrics, run_summary, run_stored_metrics, run_fused, run_overlap, run_missing_files, run_by_month, run_interval]}
 
 _OK = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _D = f"with u as (select * from embedding_entries where {_OK}), d as (select corpus_id, i, avg(x) as mean, min(x) as low, max(x) as high from (select corpus_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x from u) group by 1, 2)\n"

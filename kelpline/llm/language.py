@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from kelpline.session import stored
 
-DIM, GRAMS = 8192, (2, 3, 4)
+BITS, GRAMS = 13, (2, 3, 4)
+DIM = 1 << BITS
 SAMPLE_DOCS, SAMPLE_SENTENCES = 120, 300  # bounds of the labelled sample, per language
 CENTROIDS = 4  # per language
 FLOOR, MIN_LETTERS = 0.08, 120
@@ -53,6 +54,7 @@ _FRONT = re.compile(r"\A---\r?\n.*?\n---\r?\n", re.S)
 _PREFIX = re.compile(r"^\s*(?:[>*+\-|]\s+|\[\d{1,2}:\d{2}(?::\d{2})?\]\s*(?:[^\W\d_][\w .'’-]{0,40}:)?\s*|\d{1,3}[.)]\s+)+")
 _HEADER = re.compile(r"^\s*(?:#{1,6}\s|=|[A-Za-z][\w-]{0,24}:\s*\S.*<|(?:From|To|Cc|Bcc|Subject|Date|Reply-To|Message-ID|id|kind|confidence|title|updated|scope|source)\s*:|\S*/\S*$|\[\[.*\]\]\s*$|\d{4}-\d{2}-\d{2}\b)")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?://|/\*|\*/|import |from \S+ import|def |class |return\b|package |func |let |const |var |if \(|for \()|=>|\w\(.*\)|\w\.\w+\(|[\w\]]\s*[:+\-*/|&]?=\s*\S")
+_CODE_START = re.compile(r"\s*(?://|/\*|\*/|import |from \S+ import|def |class |return\b|package |func |let |const |var |if \(|for \()")
 _END = re.compile(r"(?<=[.!?…])[\s\"'”»)]+(?=\S)|(?<=[。！？])\s*")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
@@ -79,7 +81,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
             continue
         skip = m.end() if (m := _PREFIX.match(line)) else 0
         rest = line[skip:].rstrip()
-        if not rest or _CODE_LINE.search(rest):
+        if not rest or _CODE_START.match(rest) or (any(c in rest for c in ";{}=(") and _CODE_LINE.search(rest)):
             continue
         here = 0
         for cut in [*_END.finditer(rest), None]:
@@ -97,22 +99,25 @@ def code_lines(text: str) -> list[str]:
     return [line for block in _FENCE.findall(text) for line in block.splitlines()[1:] if letters(line) >= 12]
 
 
-def ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, count) of the hashed n-grams of each part, sorted by row."""
+def hashed(parts: list[str]) -> np.ndarray:
+    """row * DIM + column of each hashed n-gram of the parts."""
     clean = [" " + _NOT_LETTER.sub(" ", p.lower()).strip() + " " for p in parts]
-    size = np.array([len(c) for c in clean])
-    code = np.frombuffer("".join(clean).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(clean)), size)
-    keys, h = [], np.zeros(len(code), np.uint64)
+    code = np.frombuffer("".join(clean).encode("utf-32-le", "replace"), np.uint32)
+    row = np.repeat(np.arange(len(clean), dtype=np.int32), [len(c) for c in clean])
+    keys, h = [], np.zeros(len(code), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         if n > len(code):
             break
-        h = h[: len(code) - n + 1] * np.uint64(1000003) + code[n - 1 :]
+        h = h[: len(code) - n + 1] * np.uint32(1000003) + code[n - 1 :]
         if n in GRAMS:
-            whole = row[: len(h)] == row[n - 1 :]
-            mixed = (h[whole] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            keys.append(row[: len(h)][whole] * DIM + (mixed % np.uint64(DIM)).astype(np.int64))
-    key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            mixed = ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
+            keys.append((row[: len(h)] * np.int32(DIM) + mixed)[row[: len(h)] == row[n - 1 :]])
+    return np.concatenate(keys) if keys else np.zeros(0, np.int32)
+
+
+def ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, count) of the hashed n-grams of each part, sorted by row."""
+    key, count = np.unique(hashed(parts), return_counts=True)
     return key // DIM, key % DIM, count
 
 
@@ -124,15 +129,17 @@ def tfidf(parts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row, col, (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
 
 
-def cosines(parts: list[str], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """len(parts) x number of centroids."""
+def cosines(parts: list[str], idf: np.ndarray, centroids: np.ndarray, block: int = 128) -> np.ndarray:
+    """len(parts) x number of centroids; a block of parts is one dense matrix at a time."""
     out = np.zeros((len(parts), centroids.shape[0]), np.float32)
     by_col = np.ascontiguousarray(centroids.T)
-    for at in range(0, len(parts), 256):
-        row, col, w = tfidf(parts[at : at + 256], idf)
-        if len(row):
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            out[at + row[starts]] = np.add.reduceat(by_col[col] * w[:, None], starts, axis=0)
+    x = np.zeros((block, DIM), np.float32)
+    for at in range(0, len(parts), block):
+        row, col, w = tfidf(parts[at : at + block], idf)
+        x[row, col] = w
+        n = min(block, len(parts) - at)
+        out[at : at + n] = x[:n] @ by_col
+        x[row, col] = 0
     return out
 
 
@@ -174,19 +181,35 @@ def agreeing(x: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
     return good
 
 
-def document_frequencies(documents: DataFrame) -> np.ndarray:
+def cut(documents: DataFrame) -> DataFrame:
+    """(doc_id, start, end, sentence), arrays: the sentences of each document that has any, cut once and stored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                got = [(i, *zip(*found)) for i, t in zip(part["doc_id"], part["text"]) if (found := sentences(t))]
+                yield pd.DataFrame(got, columns=["doc_id", "start", "end", "sentence"])
+
+    rows = documents.filter("text is not null and doc_id is not null").select("doc_id", "text")
+    return stored(rows.mapInPandas(run, "doc_id bigint, start array<int>, end array<int>, sentence array<string>"), "sentences")
+
+
+def document_frequencies(parts: DataFrame) -> np.ndarray:
     """Smoothed idf of every hashed n-gram over all sentences of all documents; DIM numbers come back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            parts = [s for t in batch["text"] for _, _, s in sentences(t)]
-            for at in range(0, len(parts), 2048):
-                total += np.bincount(ngrams(parts[at : at + 2048])[1], minlength=DIM)
-            rows += len(parts)
+            own = [s for d in batch["sentence"] for s in d]
+            for at in range(0, len(own), 256):
+                has = np.zeros(256 * DIM, bool)
+                has[hashed(own[at : at + 256])] = True
+                total += has.reshape(256, DIM).sum(axis=0)
+            rows += len(own)
         yield pd.DataFrame({"col": np.arange(-1, DIM), "n": np.concatenate([[rows], total])})
 
-    counted = documents.select("text").filter("text is not null").mapInPandas(run, "col int, n bigint").groupBy("col").agg(F.sum("n").alias("n")).toPandas()  # DIM + 1 rows
+    counted = parts.select("sentence").mapInPandas(run, "col int, n bigint").groupBy("col").agg(F.sum("n").alias("n")).toPandas()  # DIM + 1 rows
     n = np.zeros(DIM + 1)
     n[counted["col"].to_numpy(np.int64) + 1] = counted["n"]
     return np.log((1 + n[0]) / (1 + n[1:])) + 1
@@ -209,9 +232,9 @@ def labelled_sample(documents: DataFrame) -> pd.DataFrame:
     return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_SENTENCES).drop("r").toPandas().sort_values(["lang", "sentence"], ignore_index=True)
 
 
-def fit(documents: DataFrame) -> dict:
-    """idf, centroids and their languages."""
-    idf = document_frequencies(documents)
+def fit(documents: DataFrame, parts: DataFrame) -> dict:
+    """idf, centroids and their languages, from the documents and their sentences."""
+    idf = document_frequencies(parts)
     sample = labelled_sample(documents)
     if not len(sample):
         return {"idf": idf, "centroids": np.zeros((0, DIM), np.float32), "langs": []}
@@ -245,37 +268,35 @@ def classify(parts: list[str], model: dict) -> tuple[list[str | None], np.ndarra
     return lang, np.where(first > 0, lead / np.maximum(first, 1e-9), 0)
 
 
-def smoothed(langs: list[str | None], lead: np.ndarray, size: list[int]) -> list[str | None]:
-    """An unsure sentence between two of one language takes that language; an unsure one at an edge its neighbour's."""
-    out = list(langs)
-    for i, lang in enumerate(langs):
-        if lang is None or lead[i] >= 0.25:
-            continue
-        before = next((langs[j] for j in range(i - 1, -1, -1) if langs[j] and lead[j] >= 0.25), None)
-        after = next((langs[j] for j in range(i + 1, len(langs)) if langs[j] and lead[j] >= 0.25), None)
-        if before == after or before is None or after is None:
-            out[i] = before or after or lang
-    return out
+def smoothed(langs: list[str | None], lead: np.ndarray) -> list[str | None]:
+    """An unsure sentence between two of one language takes that language; an unsure one at an edge its neighbour's. One look each way."""
+    sure = [lang if lang and x >= 0.25 else None for lang, x in zip(langs, lead)]
+    before, after = [None] * len(sure), [None] * len(sure)
+    for seen, order in ((before, range(len(sure))), (after, range(len(sure) - 1, -1, -1))):
+        last = None
+        for i in order:
+            seen[i] = last
+            last = sure[i] or last
+    return [lang if lang is None or s or not (b == a or b is None or a is None) else b or a or lang for lang, s, b, a in zip(langs, sure, before, after)]
 
 
-def segments(documents: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, start, end, lang, letters, confidence): runs of sentences of one language."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # DIM numbers and at most 44 centroids
+def segments(parts: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, start, end, lang, letters, confidence): runs of sentences of one language, from the sentences of each document."""
+    shared = parts.sparkSession.sparkContext.broadcast(model)  # DIM numbers and at most 44 centroids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                docs = [sentences(t) for t in part["text"]]
-                langs, lead = classify([s for d in docs for _, _, s in d], shared.value)
+                langs, lead = classify([s for d in part["sentence"] for s in d], shared.value)
                 rows, i = [], 0
-                for doc_id, d in zip(part["doc_id"], docs):
-                    n = [letters(s) for _, _, s in d]
-                    own = smoothed(langs[i : i + len(d)], lead[i : i + len(d)], n)
+                for doc_id, starts, ends, d in zip(part["doc_id"], part["start"].map(list), part["end"].map(list), part["sentence"]):
+                    own = smoothed(langs[i : i + len(d)], lead[i : i + len(d)])
                     open_ = None
-                    for (start, end, _), lang, size, sure in zip(d, own, n, lead[i : i + len(d)]):
+                    for start, end, sentence, lang, sure in zip(starts, ends, d, own, lead[i : i + len(d)]):
                         if lang is None:
                             continue
+                        size = letters(sentence)
                         if open_ and open_[3] == lang:
                             open_[2], open_[4], open_[5] = end, open_[4] + size, open_[5] + size * float(sure)
                         else:
@@ -286,7 +307,7 @@ def segments(documents: DataFrame, model: dict) -> DataFrame:
                 out["confidence"] = (out["confidence"] / out["letters"].clip(lower=1)).astype(float).round(4)
                 yield out
 
-    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, start int, end int, lang string, letters int, confidence double")
+    return parts.mapInPandas(run, "doc_id bigint, start int, end int, lang string, letters int, confidence double")
 
 
 def document_languages(parts: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
@@ -305,4 +326,5 @@ def mislabelled(documents: DataFrame, languages: DataFrame) -> DataFrame:
 
 def labelled(documents: DataFrame) -> DataFrame:
     """The segments of all documents by a model that is fitted to them."""
-    return stored(segments(documents, fit(documents)), "segments")
+    parts = cut(documents)
+    return stored(segments(parts, fit(documents, parts)), "segments")

@@ -76,6 +76,12 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     return names.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("ids > 1")
 
 
+def merge_slugs(rows: DataFrame) -> DataFrame:
+    """(kind, name, ids): normalised slugs, without a mark of five characters at the end, that several ids share."""
+    slug = normal_name(F.regexp_replace(F.split_part(F.lower("id"), F.lit(":"), F.lit(2)), "-[a-z0-9]{5}$", ""))
+    return rows.select("kind", "id", slug.alias("name")).filter("name <> ''").groupBy("kind", "name").agg(F.countDistinct("id").alias("ids")).filter("ids > 1")
+
+
 def split_candidates(rows: DataFrame, metrics: int = 1, topics: int = 2) -> DataFrame:
     """Entities with more distinct metrics or topics than one subject has."""
     m = F.size(F.array_distinct(F.filter(F.coalesce(F.col("claims.metric"), F.array().cast("array<string>")), lambda x: x.isNotNull())))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.plans.joins import hot_keys, salted_join
 from kelpline.session import stored
 
 #: How strong a kind of edge is.
@@ -61,23 +62,50 @@ def impact(edges: DataFrame, changed: DataFrame, hops: int = 3, hub: int = HUB)
     return seen.filter("hops > 0").withColumn("risk", F.round(1.0 / (1 + F.col("hops")), 6))
 
 
-def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, label): synchronous weighted label propagation; ties go to the smaller label.
+def communities(edges: DataFrame, rounds: int = 15) -> DataFrame:
+    """(id, label): synchronous weighted label propagation until nothing changes, `rounds` at most; ties go to the smaller label.
 
-    A node's own label counts with half a weight, so that pairs do not swap
-    labels for ever. Rounds are stored tables; votes are summed with map-side
-    combine.
+    A node's own label counts with a quarter, so that pairs do not swap labels
+    for ever. Rounds are stored tables; votes are summed with map-side combine,
+    and a hub's ties are split.
     """
     both = edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     both = stored(both.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "ties")
-    labels = both.select(F.col("source").alias("id"), F.col("source").alias("label")).distinct()
+    hot = hot_keys(both, ["target"])
+    labels = stored(both.select(F.col("source").alias("id"), F.col("source").alias("label")).distinct(), "labels")
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), "label", "weight").unionByName(labels.select("id", "label", F.lit(0.25).alias("weight")))
+        votes = salted_join(both, labels.withColumnRenamed("id", "target"), ["target"], "inner", F.col("source"), hot=hot).select(F.col("source").alias("id"), "label", "weight").unionByName(labels.select("id", "label", F.lit(0.25).alias("weight")))
         tally = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        labels = stored(tally.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")), "labels")
+        new = tally.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
+        new = stored(new.join(labels.withColumnRenamed("label", "was"), "id"), "labels")
+        labels = new.select("id", "label")
+        if new.filter("label <> was").isEmpty():
+            break
     return labels
 
 
+def cluster_names(labels: DataFrame, edges: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(label, members, inside, across, name) of the communities of at least `least` members.
+
+    name: the kind (of rows: id, kind, topics) that seven of ten members share,
+    else the two most common topics, else the label.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= least)
+    ends = edges.join(labels.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(labels.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")
+    inside = ends.filter("a = b").groupBy(F.col("a").alias("label")).agg(F.count(F.lit(1)).alias("inside"))
+    across = ends.filter("a <> b").select(F.explode(F.array("a", "b")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("across"))
+    known = labels.join(rows, "id")
+    best = lambda counted, k: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), counted))), 1, k)
+    kinds = known.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("less"), "kind")).alias("k"))
+    topics = known.select("label", F.explode("topics").alias("topic")).filter("topic is not null").groupBy("label", "topic").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("label").orderBy(F.desc("n"), "topic")
+    topics = topics.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("label").agg(best("topic", 2).alias("t"))
+    every = sizes.join(inside, "label", "left").join(across, "label", "left").join(kinds, "label", "left").join(topics, "label", "left")
+    shared = F.col("k.less") * -10 >= F.col("members") * 7
+    name = F.when(shared, F.col("k.kind")).otherwise(F.coalesce(F.array_join(F.col("t.topic"), ", "), F.col("label")))
+    return every.select("label", "members", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("across", F.lit(0)).alias("across"), name.alias("name"))
+
+
 def suffix_matches(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(corpus_id, path, target, found): the file that an import names, by equal path or path end.
 

@@ -58,14 +58,21 @@ def query_tokens(query: str) -> list[str]:
 def points_sql(t: str) -> list[str]:
     """SQL of a token's points in the path, the headings, the file name and the folder.
 
-    Reads path_lower, path_parts, path_stems, heads, head_stems, file_lower,
-    file_parts, file_stems and dir_lower; the best hit of each place counts.
+    Reads path_lower, path_parts, heads, head_words, file_lower, file_parts and
+    dir_lower; the best hit of each place counts. Only words that hold the
+    token's stem are stemmed.
     """
     s = stem(t)
+
+    def stemmed(words: str, test: str) -> str:
+        of = f"regexp_replace(x, '{STEM_PATTERN}', '$1')"
+        return f"exists({words}, x -> contains(x, '{s}') and length(x) >= 3 and {test.format(of)})"
+
+    same, holds = f"{{0}} = '{s}'", f"contains({{0}}, '{s}')"
     return [
-        f"(case when array_contains(path_parts, '{t}') then 0.3 when array_contains(path_stems, '{s}') then 0.25 when contains(path_lower, '{t}') then 0.15 else 0 end)",
-        f"(case when contains(heads, '{t}') then 0.2 when contains(head_stems, '{s}') then 0.15 else 0 end)",
-        f"(case when array_contains(file_parts, '{t}') then 0.2 when array_contains(file_stems, '{s}') then 0.15 when contains(file_lower, '{t}') then 0.1 else 0 end)",
+        f"(case when array_contains(path_parts, '{t}') then 0.3 when {stemmed('path_parts', same)} then 0.25 when contains(path_lower, '{t}') then 0.15 else 0 end)",
+        f"(case when contains(heads, '{t}') then 0.2 when {stemmed('head_words', holds)} then 0.15 else 0 end)",
+        f"(case when array_contains(file_parts, '{t}') then 0.2 when {stemmed('file_parts', same)} then 0.15 when contains(file_lower, '{t}') then 0.1 else 0 end)",
         f"(case when contains(dir_lower, '{t}') then 0.1 else 0 end)",
     ]
 
@@ -73,17 +80,14 @@ def points_sql(t: str) -> list[str]:
 def keyword_columns(files: DataFrame) -> DataFrame:
     """files with the columns that points_sql reads."""
     long = lambda c: f"filter({c}, x -> length(x) >= 2)"
-    stems = lambda c: f"transform(filter({c}, x -> length(x) >= 3), x -> regexp_replace(x, '{STEM_PATTERN}', '$1'))"
     name = r"regexp_extract(path, '([^/]*?)([.][^./]*)?$', 1)"
     return (
         files.withColumn("path_lower", F.lower("path"))
         .withColumn("path_parts", F.expr(long("split(path_lower, '[-/_.]')")))
-        .withColumn("path_stems", F.expr(stems("path_parts")))
         .withColumn("heads", F.lower(F.coalesce(F.array_join(F.col("headings.title"), " "), F.lit(""))))
-        .withColumn("head_stems", F.expr("array_join(" + stems(r"split(heads, '\\s+')") + ", ' ')"))
+        .withColumn("head_words", F.split("heads", r"\s+"))
         .withColumn("file_lower", F.expr(name))
         .withColumn("file_parts", F.expr(long(r"split(lower(regexp_replace(file_lower, '([a-z0-9])([A-Z])', '$1 $2')), r'[\s_-]+')")))
-        .withColumn("file_stems", F.expr(stems("file_parts")))
         .withColumn("dir_lower", F.expr("lower(regexp_extract(path, '^(.*)/[^/]*$', 1))"))
     )
 

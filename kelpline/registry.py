@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpline.operators import audit_queries, catalog_queries, entity_queries, file_queries, graph_queries, ranking_queries, reference_queries, retrieval_queries, store_queries, structure_queries
+from kelpline.operators import audit_queries, catalog_queries, entity_queries, file_queries, graph_queries, page_queries, ranking_queries, reference_queries, retrieval_queries, store_queries, structure_queries
 
-_MODULES = [reference_queries, entity_queries, file_queries, retrieval_queries, ranking_queries, graph_queries, catalog_queries, structure_queries, audit_queries, store_queries]
+_MODULES = [reference_queries, entity_queries, file_queries, retrieval_queries, ranking_queries, graph_queries, catalog_queries, structure_queries, audit_queries, store_queries, page_queries]
 
 
 def queries() -> dict:

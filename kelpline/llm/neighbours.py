@@ -36,7 +36,7 @@ from kelpline.session import stored
 
 TILE = 2048
 #: Without a floor, the cosine and the share of pairs of that cosine that tables and probes are chosen for.
-FAR, FAR_SHARE = 0.4, 0.95
+FAR, FAR_SHARE = 0.4, 0.99
 
 
 def rounded(x: np.ndarray) -> np.ndarray:

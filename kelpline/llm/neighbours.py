@@ -109,42 +109,34 @@ def search_for(hashes: int, floor: float | None, both: bool = True, most: int =
     return t + 1, probes
 
 
-def _own_buckets(tables: int, hashes: int):
-    """The own bucket of each vector in each table."""
+def keyed(vectors: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
+    """vectors (class_id, v, asks, salt) with `code`, `own` (the bucket of each table) and `more` (those that it probes besides, if it asks).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                x = unit(matrix(batch["v"].iloc[at : at + 4096]))
-                for t in range(tables):
-                    yield pd.DataFrame({"bucket": probe_keys(x, t, hashes, 1)[:, 0] * tables + t})
-
-    return run
-
-
-def _hashed(tables: int, hashes: int, probes: int):
-    """Rows (bucket, probing, asks, id, code) of each vector: one per own bucket, one per further probe of those that ask."""
+    Rows of another salt have other buckets. Hashed once; what follows repeats only codes and keys.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
                 x = unit(matrix(part["v"]))
-                code = [c.tobytes() for c in rounded(x)]
-                asks = part["asks"].to_numpy()
-                ids = part["class_id"].to_numpy()
+                asks = part["asks"].to_numpy(bool)
+                own = np.zeros((len(x), tables), np.int64)
+                more = []
                 for t in range(tables):
-                    own = probe_keys(x, t, hashes, probes if asks.all() else 1)
-                    further = (own if asks.all() else probe_keys(x[asks], t, hashes, probes))[:, 1:]
-                    yield pd.DataFrame({"bucket": own[:, 0] * tables + t, "probing": False, "asks": asks, "id": ids, "code": code})
-                    if further.size:
-                        n = further.shape[1]
-                        yield pd.DataFrame({"bucket": further.T.ravel() * tables + t, "probing": True, "asks": True, "id": np.tile(ids[asks], n), "code": [c for c, a in zip(code, asks) if a] * n})
+                    keys = probe_keys(x, t, hashes, probes if asks.all() else 1)
+                    own[:, t] = keys[:, 0] * tables + t
+                    further = keys if asks.all() else probe_keys(x[asks], t, hashes, probes)
+                    more.append(further[:, 1:] * tables + t)
+                salt = part["salt"].to_numpy()
+                probed: list = [np.zeros(0, np.int64)] * len(x)
+                for i, keys in zip(np.flatnonzero(asks).tolist(), np.concatenate(more, axis=1)):
+                    probed[i] = keys ^ salt[i]
+                yield part.assign(code=[c.tobytes() for c in rounded(x)], own=list(own ^ salt[:, None]), more=probed)
 
-    return run
+    return vectors.mapInPandas(run, "class_id bigint, v array<double>, asks boolean, salt bigint, code binary, own array<bigint>, more array<bigint>")
 
 
-HASHED = "bucket bigint, probing boolean, asks boolean, id bigint, code binary"
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
@@ -206,39 +198,34 @@ def _close_pairs(floor: float | None, k: int):
 PAIRS = "q bigint, b bigint, high float, low float"
 
 
-def _in_tiles(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The hashed rows by bucket and tile, sorted. sizes: (bucket, n), the rows that stand in each.
+def candidates(vectors: DataFrame, floor: float | None, k: int) -> DataFrame:
+    """(q, b, high, low), distinct pairs of stored `keyed` vectors that the tables bring together, with bounds of their cosine.
 
+    A vector stands in its own buckets, and asks there and in those it probes.
     Buckets of at most TILE rows are one tile, in which a row that asks and
     answers stands once. Larger ones are cut by a hash of the id into n tiles;
     a row asks in n cells as the left and answers in n as the right. Only large
     buckets' counts come back as a join side.
     """
-    large = stored(sizes.filter(F.col("n") > TILE).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "large_buckets")
-    whole = F.when(F.col("probing"), LEFT).when(F.col("asks"), BOTH).otherwise(RIGHT)
+    sizes = vectors.select(F.explode("own").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
+    large = stored(sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "large_buckets")
+    stands = F.transform("own", lambda b: F.struct(b.alias("bucket"), F.when(F.col("asks"), BOTH).otherwise(RIGHT).alias("side")))
+    probes = F.transform("more", lambda b: F.struct(b.alias("bucket"), F.lit(LEFT).alias("side")))
+    rows = vectors.select(F.explode(F.concat(stands, probes)).alias("c"), F.col("class_id").alias("id"), "code").select("c.bucket", "c.side", "id", "code")
     if large.isEmpty():
-        at = rows.select("bucket", F.lit(0).alias("tile_a"), F.lit(0).alias("tile_b"), whole.alias("side"), "id", "code")
-        return at.repartition("bucket").sortWithinPartitions("bucket")
-    rows = rows.join(large, "bucket", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    each = F.sequence(F.lit(0), F.col("tiles") - 1)
-    cell = lambda a, b, side: F.struct(a.alias("tile_a"), b.alias("tile_b"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
-    none = F.filter(F.array(cell(F.lit(0), F.lit(0), LEFT)), lambda _: F.lit(False))
-    asking = F.when(F.col("asks"), F.transform(each, lambda t: cell(own, t, LEFT))).otherwise(none)
-    answering = F.when(F.col("probing"), none).otherwise(F.transform(each, lambda t: cell(t, own, RIGHT)))
-    cells = F.when(F.col("tiles").isNull(), F.array(cell(F.lit(0), F.lit(0), whole))).otherwise(F.concat(asking, answering))
-    at = rows.select("bucket", F.explode(cells).alias("c"), "id", "code").select("bucket", "c.*", "id", "code")
-    return at.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-
-
-def candidates(vectors: DataFrame, tables: int, hashes: int, probes: int, floor: float | None, k: int) -> DataFrame:
-    """(q, b, high, low), distinct pairs of (class_id, v, asks) that the tables bring together, with bounds of their cosine.
-
-    Nothing but the pairs is kept of the buckets; their sizes are counted on the own keys alone.
-    """
-    sizes = vectors.select("v").mapInPandas(_own_buckets(tables, hashes), "bucket bigint").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    rows = _in_tiles(vectors.select("class_id", "v", "asks").mapInPandas(_hashed(tables, hashes, probes), HASHED), sizes)
-    return rows.mapInPandas(_close_pairs(floor, k), PAIRS).groupBy("q", "b").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+        at = rows.withColumn("tile_a", F.lit(0)).withColumn("tile_b", F.lit(0)).repartition("bucket").sortWithinPartitions("bucket")
+    else:
+        rows = rows.join(large, "bucket", "left")
+        own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+        each = F.sequence(F.lit(0), F.col("tiles") - 1)
+        cell = lambda a, b, side: F.struct(a.alias("tile_a"), b.alias("tile_b"), side.alias("side"))
+        none = F.filter(F.array(cell(F.lit(0), F.lit(0), F.lit(LEFT))), lambda _: F.lit(False))
+        asking = F.when(F.col("side") != RIGHT, F.transform(each, lambda t: cell(own, t, F.lit(LEFT)))).otherwise(none)
+        answering = F.when(F.col("side") != LEFT, F.transform(each, lambda t: cell(t, own, F.lit(RIGHT)))).otherwise(none)
+        cells = F.when(F.col("tiles").isNull(), F.array(cell(F.lit(0), F.lit(0), F.col("side")))).otherwise(F.concat(asking, answering))
+        at = rows.select("bucket", F.explode(cells).alias("c"), "id", "code").select("bucket", "c.*", "id", "code")
+        at = at.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
+    return at.mapInPandas(_close_pairs(floor, k), PAIRS).groupBy("q", "b").agg(F.max("high").alias("high"), F.min("low").alias("low"))
 
 
 def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 10, floor: float | None = None, tables: int | None = None, probes: int | None = None, hashes: int | None = None, asking: str = "true") -> DataFrame:
@@ -259,10 +246,11 @@ def similar_vectors(entries: DataFrame, id_col: str, vector_col: str, k: int = 1
     first = first.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("first_ids")).join(ids.groupBy("h").agg(F.max("ask").alias("asks")), "h")
     classes = stored(first.select(F.col("first_ids")[0].alias("class_id"), "first_ids", "asks", "h"), "classes")
     vectors = rows.join(classes.select(F.col("class_id").alias("id"), "h", "asks"), ["id", "h"]).groupBy("id", "asks").agg(F.first("v").alias("v"))
-    vectors = stored(vectors.select(F.col("id").alias("class_id"), "v", "asks"), "class_vectors")
     hashes = hashes or hashes_for(classes.count())
     by_default = search_for(hashes, floor, asking == "true")
-    near = candidates(vectors, tables or by_default[0], hashes, probes or by_default[1], floor, k)
+    vectors = vectors.select(F.col("id").alias("class_id"), "v", "asks", F.lit(0).cast("bigint").alias("salt"))
+    vectors = stored(keyed(vectors, tables or by_default[0], hashes, probes or by_default[1]), "class_vectors")
+    near = candidates(vectors, floor, k)
     if floor is None:  # those that may be among the k best
         w = Window.partitionBy("q").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         near = near.withColumn("_kth", F.coalesce(F.nth_value("low", k).over(w), F.lit(-3.0))).filter(F.col("high") >= F.col("_kth"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.neighbours import HASHED, PAIRS, _close_pairs, _hashed, _in_tiles, hashes_for, search_for
+from kelpline.llm.neighbours import candidates, hashes_for, keyed, search_for
 from kelpline.llm.vectors import matrix, pseudo_rotation, unit, usable
 from kelpline.plans.ranks import with_global_rank
 from kelpline.session import stored
@@ -94,13 +94,6 @@ def alike_edges(nodes: DataFrame, alike: float) -> DataFrame:
     """
     hashes = hashes_for(nodes.count())
     tables, probes = search_for(hashes, alike)
-    hashed = _hashed(tables, hashes, probes)
-
-    def by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for salt, part in batch.groupby("salt"):
-                for out in hashed(iter([part])):
-                    yield out.assign(bucket=out["bucket"].to_numpy() ^ salt)
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,9 +102,7 @@ def alike_edges(nodes: DataFrame, alike: float) -> DataFrame:
                 yield batch.loc[np.round(s, 6) >= alike, ["better", "worse"]]
 
     asked = nodes.select(F.col("node").alias("class_id"), "v", F.lit(True).alias("asks"), F.xxhash64("grp").alias("salt"))
-    rows = stored(asked.mapInPandas(by_group, HASHED), "alike_hashed")
-    sizes = rows.filter("not probing").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    near = _in_tiles(rows, sizes).mapInPandas(_close_pairs(alike, 1), PAIRS).select("q", "b").distinct()
+    near = candidates(stored(keyed(asked, tables, hashes, probes), "alike_keyed"), alike, 1).select("q", "b")
     side = lambda id, x: nodes.select(F.col("node").alias(id), F.col("grp").alias(f"grp_{x}"), F.col("first").alias(f"first_{x}"), F.col("v").alias(f"v{x}"))
     both = near.join(side("q", "a"), "q").join(side("b", "b"), "b").filter("grp_a = grp_b")
     order = lambda x, y: F.when(F.col("first_a") < F.col("first_b"), F.col(x)).otherwise(F.col(y))

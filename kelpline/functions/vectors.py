@@ -18,6 +18,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def unit(a: Column) -> Column:
+    """a with length 1, its length computed once; without any, nulls."""
+    return F.zip_with(a, F.array_repeat(F.nullif(norm(a), F.lit(0.0)), F.size(a)), lambda x, n: x / n)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either has no length or the lengths differ."""
     n = norm(a) * norm(b)

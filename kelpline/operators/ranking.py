@@ -58,11 +58,12 @@ def asked_vectors(rows: DataFrame, by: list[str], truth_col: str, vectors: DataF
 def search(entries: DataFrame, asked: DataFrame, by: str, group: str, top: int, floor: float = LEAST_COSINE) -> DataFrame:
     """(by, group, entry_id, similarity, place): of each stated query the `top` entries of its group with a cosine of at least floor.
 
-    entries: stored (group, entry_id, embedding); asked: (by, group, q), a stated
-    set of queries. A group of many entries is split. The rank filter is applied
+    entries: stored (group, entry_id, u), u of length 1; asked: (by, group, q), a
+    stated set of queries. A group of many entries is split. The rank filter is applied
     per partition before the shuffle, so that only candidates move.
     """
-    scored = salted_join(entries, asked, [group], "inner", F.col("entry_id")).select(by, group, "entry_id", off_half(V.cosine(F.col("embedding"), F.col("q"))).alias("similarity")).filter(F.col("similarity") >= floor)
+    asked = asked.select(by, group, V.unit(F.col("q")).alias("q"))
+    scored = salted_join(entries, asked, [group], "inner", F.col("entry_id")).select(by, group, "entry_id", off_half(V.dot(F.col("u"), F.col("q"))).alias("similarity")).filter(F.col("similarity") >= floor)
     w = Window.partitionBy(by, group).orderBy(F.desc("similarity"), "entry_id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
@@ -105,8 +106,7 @@ def diversified(members: DataFrame) -> DataFrame:
 
 def diversity(members: DataFrame, by: str) -> DataFrame:
     """(by, files, diversity): 1 less the mean cosine of all pairs, from the length of the sum of the unit vectors; 1 for a single file."""
-    unit = members.select(by, F.transform("v", lambda x: x / V.norm(F.col("v"))).alias("u"))
-    sums = unit.select(by, F.posexplode("u").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("files"))
+    sums = members.select(by, V.unit(F.col("v")).alias("u")).select(by, F.posexplode("u").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("files"))
     n = F.col("files")
     return sums.groupBy(by, "files").agg(F.sum(F.col("s") * F.col("s")).alias("square")).select(by, "files", off_half(F.when(n > 1, 1 - (F.col("square") - n) / (n * (n - 1))).otherwise(1.0), 5).alias("diversity"))
 

@@ -38,7 +38,7 @@ def run_search(spark, sf_dir):
     """Of each task, the ten entries of its corpus nearest to the mean vector of its true files."""
     runs, usable = _runs(spark, sf_dir), _usable(spark, sf_dir)
     asked = K.asked_vectors(runs, ["task_id", "corpus_id"], "ground_truth", K.file_vectors(usable))
-    entries = stored(usable.select("corpus_id", "entry_id", "embedding"), "entries")
+    entries = stored(usable.select("corpus_id", "entry_id", V.unit(F.col("embedding")).alias("u")), "entries")
     return K.search(entries, asked, "task_id", "corpus_id", 10).select("task_id", "corpus_id", "entry_id", "similarity", "place")
 
 
@@ -47,7 +47,7 @@ def run_search_allowed(spark, sf_dir):
     runs, usable = _runs(spark, sf_dir), _usable(spark, sf_dir)
     asked = K.asked_vectors(runs, ["task_id", "corpus_id"], "ground_truth", K.file_vectors(usable))
     allowed = X.latest(table(spark, sf_dir, "source_files").select("corpus_id", "path", "knowledge_type", "indexed_at", "hash", "tokens")).filter("knowledge_type in ('ground_truth', 'framework')").select("corpus_id", F.col("path").alias("file_id"))
-    entries = stored(usable.join(allowed, ["corpus_id", "file_id"], "left_semi").select("corpus_id", "entry_id", "embedding"), "entries")
+    entries = stored(usable.join(allowed, ["corpus_id", "file_id"], "left_semi").select("corpus_id", "entry_id", V.unit(F.col("embedding")).alias("u")), "entries")
     return K.search(entries, asked, "task_id", "corpus_id", 5, 0.3).select("task_id", "corpus_id", "entry_id", "similarity", "place")
 
 

@@ -33,12 +33,15 @@ DEPTHS = [1.0, 0.40, 0.20, 0.08, 0.03]
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entry_id, other, exact, short, signs): each entry whose id is divisible by 100 against all of its corpus: cosine, cosine of the first half, and product with the signs."""
     usable = R.usable_entries(table(spark, sf_dir, "embedding_entries"))
-    entries = stored(usable.select("corpus_id", F.col("entry_id").alias("other"), F.col("embedding").alias("v")), "entries")
-    asked = entries.filter("other % 100 = 0").select("corpus_id", F.col("other").alias("entry_id"), F.col("v").alias("q"))
-    pairs = salted_join(entries, asked, ["corpus_id"], "inner", F.col("other")).filter("other <> entry_id")
     half = lambda c: F.slice(c, 1, 32)
-    signs = F.transform("v", lambda x: F.when(x >= 0, 1.0).otherwise(-1.0))
-    return pairs.select("corpus_id", "entry_id", "other", K.off_half(V.cosine(F.col("v"), F.col("q"))).alias("exact"), K.off_half(V.cosine(half("v"), half("q"))).alias("short"), K.off_half(V.dot(F.col("q"), signs)).alias("signs"))
+    e = F.col("embedding")
+    signs = F.transform(e, lambda x: F.when(x >= 0, 1.0).otherwise(-1.0))
+    entries = stored(usable.select("corpus_id", F.col("entry_id").alias("other"), e.alias("v"), V.unit(e).alias("u"), V.unit(half(e)).alias("h"), signs.alias("s")), "entries")
+    asked = entries.filter("other % 100 = 0").select("corpus_id", F.col("other").alias("entry_id"), F.col("v").alias("q"), F.col("u").alias("qu"), F.col("h").alias("qh"))
+    entries = entries.drop("v")
+    pairs = salted_join(entries, asked, ["corpus_id"], "inner", F.col("other")).filter("other <> entry_id")
+    product = lambda a, b: K.off_half(F.coalesce(V.dot(F.col(a), F.col(b)), F.lit(0.0)))
+    return pairs.select("corpus_id", "entry_id", "other", product("u", "qu").alias("exact"), product("h", "qh").alias("short"), product("q", "s").alias("signs"))
 
 
 def _recall(pairs: DataFrame, by: Column, pool: int, k: int = 10) -> DataFrame:

@@ -107,7 +107,7 @@ def test_links(files: DataFrame) -> DataFrame:
     return one("test", "code", "tests").unionByName(one("code", "test", "tested_by"))
 
 
-def doc_links(files: DataFrame, least: int = 4) -> DataFrame:
+def doc_links(files: DataFrame, least: int = 1) -> DataFrame:
     """(corpus_id, source, target, kind): documents and the code whose name holds theirs, or is held by it.
 
     Each name offers all its parts of at least `least` characters, so that

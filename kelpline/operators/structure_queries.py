@@ -119,7 +119,7 @@ tree as (select a.*, coalesce((select max(b.node) from hh b where b.corpus_id =
 _LINKS = _ROLES + r""", tn as (select corpus_id, path, regexp_replace(regexp_replace(regexp_replace(base, '\.(test|spec)$', ''), '^test[_-]', ''), '[_-]test$', '') as name from roles where is_test),
 tl as (select t.corpus_id, t.path as test, c.path as code from tn t join roles c on c.corpus_id = t.corpus_id and c.is_code and c.base = t.name and c.path <> t.path),
 pn as (select corpus_id, path, is_doc, is_code, replace(replace(base, '-', ''), '_', '') as name from roles where is_doc or is_code),
-dl as (select d.corpus_id, d.path as doc, c.path as code from pn d join pn c on c.corpus_id = d.corpus_id and d.is_doc and c.is_code and d.name <> '' and c.name <> '' and (d.name = c.name or (length(d.name) >= 4 and contains(c.name, d.name)) or (length(c.name) >= 4 and contains(d.name, c.name)))),
+dl as (select d.corpus_id, d.path as doc, c.path as code from pn d join pn c on c.corpus_id = d.corpus_id and d.is_doc and c.is_code and d.name <> '' and c.name <> '' and (contains(c.name, d.name) or contains(d.name, c.name))),
 links as (select corpus_id, test as source, code as target, 'tests' as kind, 0.6::double as weight from tl union all select corpus_id, code, test, 'tested_by', 0.6 from tl union all select distinct corpus_id, doc, code, 'documents', 0.5 from dl)"""
 _PY = r"""py as (select corpus_id, path, regexp_split_to_array(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n') as ls from roles where ext = 'py' and content is not null), e as (select corpus_id, path, generate_subscripts(ls, 1) as line, unnest(ls) as l from py),
 n as (select corpus_id, path, line, l, length(regexp_extract(l, '^([ \t]*)\S', 1)) as indent, regexp_extract(l, '^[ \t]*(?:class|(?:async\s+)?def)\s+(\w+)', 1) as name from e where trim(l) <> ''),

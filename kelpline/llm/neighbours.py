@@ -63,10 +63,20 @@ def hashes_for(rows: int, bucket: int = 64, dims: int = DIMS) -> int:
     return max(1, math.ceil(math.log(max(rows, 2) / bucket) / math.log(2 * dims)))
 
 
+@functools.cache
+def _choices(tops: int, hashes: int, probes: int) -> np.ndarray:
+    """Which of its best axes each hash takes, of all that can be among the `probes` best buckets: one row each."""
+    choices: list[tuple[int, ...]] = [()]
+    for _ in range(hashes):
+        choices = [(*c, i) for c in choices for i in range(min(tops, probes // math.prod(j + 1 for j in c)))]
+    return np.array(choices)
+
+
 def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     """The keys of the `probes` best buckets of each row in one table, the own bucket first."""
-    d, per = None, []
     tops = max(2, min(probes, 2 * x.shape[1]))
+    choices = _choices(tops, hashes, probes)
+    cost, keys = np.zeros((len(x), len(choices))), np.zeros((len(x), len(choices)), np.int64)
     for h in range(hashes):
         r = pseudo_rotation(x, 7919 * table + h)
         d = r.shape[1]
@@ -74,12 +84,9 @@ def probe_keys(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarra
         best = np.argpartition(-signed, min(tops, 2 * d - 1), axis=1)[:, :tops]
         score = np.take_along_axis(signed, best, 1)
         order = np.argsort(-score, axis=1, kind="stable")
-        per.append((np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)))
-    choices: list[tuple[int, ...]] = [()]
-    for _ in range(hashes):
-        choices = [(*c, i) for c in choices for i in range(min(tops, probes // math.prod(j + 1 for j in c)))]
-    cost = np.stack([sum((s[:, 0] - s[:, i]) ** 2 for (_, s), i in zip(per, c)) for c in choices], 1)
-    keys = np.stack([sum(b[:, i].astype(np.int64) * (2 * d) ** h for h, ((b, _), i) in enumerate(zip(per, c))) for c in choices], 1)
+        best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
+        cost += ((score[:, :1] - score) ** 2)[:, choices[:, h]]
+        keys += (best.astype(np.int64) * (2 * d) ** h)[:, choices[:, h]]
     return np.take_along_axis(keys, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
 
 

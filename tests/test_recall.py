@@ -35,3 +35,10 @@ def test_half_recall_in_blocks(spark, entries, monkeypatch):
     monkeypatch.setattr(Q, "SCORES", 200)
     assert same_as_sql(spark, entries, "vec_half_recall")
     assert Q._asked(spark, entries, "short", 10).count() <= 12 * 8 * 20  # queries, blocks, best of both; not all 7 000 pairs
+
+
+def test_sign_recall_in_blocks(spark, entries, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 512)
+    monkeypatch.setattr(Q, "ASKED", 5)
+    assert same_as_sql(spark, entries, "vec_sign_recall")
+    assert Q._asked(spark, entries, "signs", 20).count() <= 12 * 2 * 30  # queries, blocks, best of both; not all 7 000 pairs

@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,7 @@ MARGIN_STEPS = 10_000
 PRECISION, RECALL = 0.99, 0.998  # of a sure margin, by the labels; of a likely one, of the positive examples
 MARKED, MARKS = 3, 1 << 20  # repositories in which a path component must occur to be learned, and the hashes by which that is counted
 LONG = 1 << 14  # n-grams of a text from which on equal ones are counted instead of listed
+PIECE = 1 << 20  # bytes, or characters, of texts whose n-grams are computed at a time
 COPIES, COPIED_SIZE = 2, 120  # corpora that hold the same body, and its least characters
 
 #: Forms of generators' headers, in several languages.
@@ -146,23 +147,57 @@ def path_columns(path: str, known: np.ndarray | None = None) -> list[int]:
     return [2 * DIM + HEAD + m % PATHS for m in path_marks(path) if known is None or known[m % MARKS]]
 
 
-def features(body: list[str], header: list[str], path: list[str], known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(columns, values) of each file: the shares of its n-grams and the marks of its path. A column may occur repeatedly."""
+class Examples:
+    """(columns, values) of each file: the shares of its n-grams and the marks of its path. A column may occur repeatedly.
+
+    A pair is made when it is asked for. What is held is the number of each n-gram
+    within its kind, two bytes each, once for a file and its copy without header.
+    """
+
+    def __init__(self, body: list[str], header: list[str], path: list[str], known: np.ndarray | None, masked: np.ndarray):
+        texts = _grams(body, PAD, gram_columns, (0, DIM), TEXT_SCALE)
+        heads = _grams([h.lower() for h in header], HEAD_PAD, lambda text: (head_columns(text),), (2 * DIM,), HEAD_SCALE)
+        marks = [(np.array(path_columns(p, known), np.int32), 0, PATH_SCALE) for p in path]
+        self.of = np.concatenate([np.arange(len(body)), masked]).astype(np.int64)
+        self.parts = [[*texts[k], *heads[k], marks[k]] for k in range(len(body))] + [[*texts[k], marks[k]] for k in masked]
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        parts, end = self.parts[i], 0
+        n = sum([len(c) for c, _, _ in parts])
+        columns, values = np.empty(n, np.intp), np.empty(n)
+        for c, first, value in parts:
+            at, end = end, end + len(c)
+            columns[at:end] = c
+            if first:
+                columns[at:end] += first
+            values[at:end] = value
+        return columns, values
+
+
+def _grams(texts: list[str], pad: bytes, columns: Callable[[bytes], tuple[np.ndarray, ...]], firsts: tuple[int, ...], scale: float) -> list[list[tuple]]:
+    """Of each text and kind of n-grams the columns less the first of the kind, that first, and their values. The n-grams of long texts are counted."""
+    text, start, size = packed_text(texts, pad)
+    kinds = [np.empty(len(text) - len(pad), np.uint16) for _ in firsts]
+    for at in range(0, len(text) - len(pad), PIECE):
+        for kind, cols, first in zip(kinds, columns(text[at : at + PIECE + len(pad)]), firsts):
+            kind[at : at + PIECE] = cols - np.uint32(first)
     out = []
-    for t, h, p in zip(body, header, path):
-        text, _, size = packed_text([t])
-        top, _, top_size = packed_text([h.lower()], HEAD_PAD)
-        cols, counts = _counted(np.concatenate([c[: size[0]] for c in gram_columns(text)]))
-        heads, head_counts = _counted(head_columns(top)[: top_size[0]])
-        marks = np.array(path_columns(p, known), np.int64)
-        values = [counts * (TEXT_SCALE / 2 / max(1, size[0])), head_counts * (HEAD_SCALE / max(1, top_size[0])), np.full(len(marks), PATH_SCALE)]
-        out.append((np.concatenate([cols, heads, marks]).astype(np.int32), np.concatenate(values).astype(np.float32)))
+    for at, n in zip(start.tolist(), size.tolist()):
+        share = scale / len(firsts) / max(1, n)
+        parts = [(kind[at : at + n], first, float(np.float32(share))) for kind, first in zip(kinds, firsts)]
+        if n * len(firsts) > LONG:
+            cols, counts = np.unique(np.concatenate([c + np.int32(first) for c, first, _ in parts]), return_counts=True)
+            parts = [(cols, 0, (counts * share).astype(np.float32))]
+        out.append(parts)
     return out
 
 
-def _counted(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and how often each stands for; many are reduced to different ones, of which there are a fixed number."""
-    return np.unique(cols, return_counts=True) if len(cols) > LONG else (cols, np.ones(len(cols)))
+def features(body: list[str], header: list[str], path: list[str], known: np.ndarray | None = None, masked: np.ndarray = np.zeros(0, np.int64)) -> Examples:
+    """The files as examples, and after them copies without header of those that stand at `masked`."""
+    return Examples(body, header, path, known, masked)
 
 
 def _mean_weight(weight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -185,19 +220,21 @@ def margins(body: list[str], header: list[str], path: list[str], w: np.ndarray)
     return out + np.add.reduceat(w[np.concatenate(marks)], np.cumsum([0, *map(len, marks)])[:-1]) * PATH_SCALE
 
 
-def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, strength: float = 1e-4, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Weights of a linear support-vector classifier by averaged sub-gradient steps (Pegasos); the last is the bias."""
+def train(x: Examples, y: np.ndarray, use: np.ndarray, strength: float = 1e-4, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Weights of a linear support-vector classifier by averaged sub-gradient steps (Pegasos) over the examples that stand at `use`; the last is the bias."""
     rng = np.random.default_rng(seed)
     w, total, scale, t = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), 1.0, 0
     for r in range(rounds):
-        for i in rng.permutation(len(x)):
+        for i in use[rng.permutation(len(use))]:
             t += 1
             step = 1 / (strength * (t + 1000))
             cols, values = x[i]
             margin = y[i] * (scale * (w[cols] @ values) + w[-1])
             scale *= 1 - step * strength
             if margin < 1:
-                np.add.at(w, cols, step * y[i] * values / scale)
+                values *= step * y[i]
+                values /= scale
+                np.add.at(w, cols, values)
                 w[-1] += 0.01 * step * strength * y[i]
         if r >= rounds // 2:
             total[:-1] += scale * w[:-1]
@@ -213,7 +250,8 @@ def fit(files: DataFrame, flags: DataFrame) -> tuple[np.ndarray, float, float]:
         for batch in batches:
             yield batch.assign(held=is_held(batch))
 
-    flags = flags.filter("not prose").select("corpus_id", "file_id", "sign", "size").mapInPandas(split, "corpus_id string, file_id string, sign boolean, size int, held boolean")
+    named = flags.filter("not prose").select("corpus_id", "file_id", "sign", "size")
+    flags = named.mapInPandas(split, "corpus_id string, file_id string, sign boolean, size int, held boolean")
     kinds = flags.groupBy("held", "sign").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()  # four rows
     if len({r["sign"] for r in kinds}) < 2:
         warnings.warn("no examples of both kinds: nothing can be learned")
@@ -222,7 +260,7 @@ def fit(files: DataFrame, flags: DataFrame) -> tuple[np.ndarray, float, float]:
     if not apart:
         warnings.warn("a part of the repositories lacks examples of a kind: the thresholds come from the examples that were learned")
     shards = int(max(1, -(-sum(r["n"] for r in kinds) // SHARD), -(-sum(r["size"] for r in kinds) // SHARD_CHARS)))
-    w = shard_weights(files, flags, shards, common_marks(flags), apart)
+    w = shard_weights(files, flags, shards, common_marks(named), apart)
     if not w:
         warnings.warn("no shard holds examples of both kinds: nothing can be learned")
         return np.zeros(WIDTH + 1), float("inf"), float("inf")
@@ -248,8 +286,10 @@ def is_held(files: pd.DataFrame) -> np.ndarray:
 
 def in_steps(batch: pd.DataFrame, w: np.ndarray) -> np.ndarray:
     """The margins of the files, rounded to steps."""
-    parts = [batch.iloc[at : at + 1000] for at in range(0, len(batch), 1000)]
-    m = [margins(list(p["body"]), list(p["header"]), list(p["file_id"]), w) for p in parts]
+    chars = np.cumsum([len(b) + len(h) for b, h in zip(batch["body"], batch["header"])], dtype=np.int64)
+    group = np.stack([np.arange(len(batch)) // 1000, chars // PIECE])  # of so many files and characters at most, or of one file
+    parts = np.split(np.arange(len(batch)), np.flatnonzero(np.diff(group).any(axis=0)) + 1)
+    m = [margins(list(p["body"]), list(p["header"]), list(p["file_id"]), w) for p in (batch.iloc[part] for part in parts)]
     return np.rint(np.concatenate([np.zeros(0), *m]) * MARGIN_STEPS) / MARGIN_STEPS + 0.0
 
 
@@ -278,13 +318,13 @@ def shard_weights(files: DataFrame, flags: DataFrame, shards: int, known: np.nda
 
     def learn(key: tuple, files: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         part = files.merge(flags, on=["corpus_id", "file_id"]).sort_values(["corpus_id", "file_id"])
-        masked = part[part["header"] != ""].assign(header="")
-        both = pd.concat([part, masked])
-        x, y, held = features(list(both["body"]), list(both["header"]), list(both["file_id"]), marks.value), np.where(both["sign"], 1.0, -1.0), both["held"].to_numpy(bool)
+        masked = np.flatnonzero(part["header"] != "")
+        x = features(list(part["body"]), list(part["header"]), list(part["file_id"]), marks.value, masked)
+        y, held = np.where(part["sign"], 1.0, -1.0)[x.of], part["held"].to_numpy(bool)[x.of]
         out = []
         for name, use in (("whole", np.arange(len(x))), ("trial", np.flatnonzero(~held)))[: 1 + apart]:
             if len(set(y[use])) == 2:
-                w = train([x[i] for i in use], y[use], rounds=-(-STEPS // len(use))).astype(np.float32)
+                w = train(x, y, use, rounds=-(-STEPS // len(use))).astype(np.float32)
                 out += [(name, at, key[0], w[at : at + SLICE].tobytes()) for at in range(0, len(w), SLICE)]
         return pd.DataFrame(out, columns=["name", "at", "shard", "w"])
 
